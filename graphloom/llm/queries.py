@@ -5,12 +5,27 @@ from __future__ import annotations
 from graphloom.llm.common import table
 
 
+def op5_simhash(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from graphloom.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op7_mixing(spark, sf_dir):
     from graphloom.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_sharding(spark, sf_dir):
+    from graphloom.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
