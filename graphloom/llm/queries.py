@@ -20,6 +20,12 @@ def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontamination(spark, sf_dir):
+    from graphloom.llm.decontaminate import digest, passages
+
+    return digest(passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op10_sharding(spark, sf_dir):
     from graphloom.llm.sharding import shard_documents
 
@@ -30,5 +36,27 @@ def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+LOWER_ASCII = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BENCH_WORDS = r"regexp_extract_all(%s, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')" % LOWER_ASCII
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({BENCH_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {BENCH_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, w[i : i + least(10, len(w)) - 1] AS win
+        FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM win),
+grams AS (SELECT doc_id, k, i, w[i : i + k - 1] AS win
+          FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
+hits AS (SELECT doc_id, item_id, i, win.k AS k FROM grams JOIN win USING (k, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op9_decontamination": OP9_SQL}

@@ -14,11 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import shared_folder, store
+from graphloom.llm.common import shared_folder
 
 SHARDS = 24
 #: A bucket's mean bytes and rows in memory.
-BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 16384
+BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 4096
 LAW = "rows"
 
 
@@ -33,49 +33,54 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return order
 
 
-def shuffled(records: DataFrame, key: list[str], size: str, shards: int = SHARDS, seed: int = 11) -> DataFrame:
+def shuffled(records: DataFrame, key: list[str], size: Column, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """records with shard (0 to shards-1) and slot (from 0, without gaps in its shard).
 
     key: columns that tell rows apart and fix the order before the shuffle; rows alike in all of them are
-    interchangeable. Nulls are values like others. size: the column of a
-    row's bytes. Same rows, same result, at any partitioning. Names that begin with _sh_ are taken.
+    interchangeable. Nulls are values like others. size: a row's bytes. Same rows, same result, at any partitioning.
+    Whole records move once: a bucket's place in the whole comes to it in a cogroup. Names that begin with _sh_ are taken.
     """
     total = records.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
-    buckets = max(1, -(-total["n"] // BUCKET_ROWS), -(-int(total["b"]) // BUCKET_BYTES))
+    n = total["n"]
+    buckets = max(1, -(-n // BUCKET_ROWS), -(-int(total["b"]) // BUCKET_BYTES))
     scattered = records.withColumn("_sh_h", F.xxhash64(*key, F.lit(seed))).withColumn("_sh_bucket", F.pmod("_sh_h", F.lit(buckets)).cast("int"))
-    schema = T.StructType([*scattered.schema.fields, T.StructField("_sh_at", T.LongType(), False)])
+    counts = scattered.groupBy("_sh_bucket").agg(F.count("*").alias("_sh_n"))
+    offsets = counts.select("_sh_bucket", (F.sum("_sh_n").over(W.orderBy("_sh_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sh_n")).alias("_sh_offset"))
+    schema = T.StructType([*records.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     order = [("_sh_h", "ascending"), *((k, "ascending") for k in key)]
 
-    def shuffle(bucket: pa.Table) -> pa.Table:
-        places = bucket.select([k for k, _ in order]).append_column("row", pa.array(np.arange(len(bucket)))).sort_by(order)
+    def shuffle(bucket: pa.Table, offset: pa.Table) -> pa.Table:
+        # Sorting moves row numbers, not records.
+        sorted_rows = bucket.select([k for k, _ in order]).append_column("_sh_row", pa.array(np.arange(len(bucket)))).sort_by(order)["_sh_row"].to_numpy()
         at = np.empty(len(bucket), dtype=np.int64)
-        at[places["row"].to_numpy()] = fisher_yates(len(bucket), seed * 1_000_003 + bucket["_sh_bucket"][0].as_py())
-        return bucket.append_column("_sh_at", pa.array(at))
+        at[sorted_rows] = fisher_yates(len(bucket), seed * 1_000_003 + bucket["_sh_bucket"][0].as_py()) + offset["_sh_offset"][0].as_py()
+        shard = ((at + 1) * shards - 1) // n
+        out = bucket.drop_columns(["_sh_h", "_sh_bucket"]).append_column("shard", pa.array(shard.astype(np.int32)))
+        return out.append_column("slot", pa.array(at - shard * n // shards))
 
-    placed = scattered.groupBy("_sh_bucket").applyInArrow(shuffle, schema)
-    counts = scattered.groupBy("_sh_bucket").agg(F.count("*").alias("_sh_n"))
-    offsets = counts.select("_sh_bucket", (F.sum("_sh_n").over(W.orderBy("_sh_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sh_n")).alias("_sh_offset"))
-    n = max(1, total["n"])
-    at = F.col("_sh_at") + F.col("_sh_offset")
-    shard = F.expr(f"((_sh_at + _sh_offset + 1) * {shards} - 1) div {n}")
-    out = placed.join(offsets, "_sh_bucket").withColumn("shard", shard.cast("int"))
-    out = out.withColumn("slot", (at - F.expr(f"(shard * {n}L) div {shards}")).cast("long"))
-    return out.drop(*[c for c in out.columns if c.startswith("_sh_")])
+    return scattered.groupBy("_sh_bucket").cogroup(offsets.groupBy("_sh_bucket")).applyInArrow(shuffle, schema)
+
+
+def write_shards(records: DataFrame, folder: str) -> DataFrame:
+    """Writes records (with shard and slot) as Parquet, a folder a shard, each file by slot; returns what is read back.
+
+    A bucket lies in one shard or two, so that tasks write few files and records need no second exchange.
+    """
+    records.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    return records.sparkSession.read.schema(records.schema).parquet(folder)
 
 
-def write_shards(spark, records: DataFrame, folder: str | None = None) -> str:
-    """records (with shard and slot) as Parquet, a folder a shard, rows by slot; the folder's name."""
-    folder = folder or shared_folder(spark) + "/shards"
-    records.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(folder)
-    return folder
+def shuffle_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
+    """docs (with doc_id and text, and whatever else) with shard and slot; null texts count as empty in a record's bytes."""
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    return shuffled(keyed, ["doc_id", "_text_hash"], record_bytes(F.col("text")), shards, seed).drop("_text_hash")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
-    """A row for each of docs' rows: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    """Writes all documents into shards and describes what the shards hold: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Null texts have no bytes and the check sum of the empty text. An empty table gives no rows.
+    Null texts have no bytes and the check sum of the empty text. An empty table gives no rows. Other columns are left aside.
     """
-    text = F.coalesce("text", F.lit(""))
-    records = docs.select("doc_id", record_bytes(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
-    out = shuffled(store(records), ["doc_id", "text_hash"], "size", shards, seed)
-    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    written = write_shards(shuffle_documents(docs.select("doc_id", "text"), shards, seed), shared_folder(docs.sparkSession) + "/shards")
+    crc = F.crc32(F.coalesce("text", F.lit("")))
+    return written.select("doc_id", record_bytes(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit(LAW).alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
