@@ -5,6 +5,12 @@ from __future__ import annotations
 from graphloom.llm.common import table
 
 
+def op1_nearest(spark, sf_dir):
+    from graphloom.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 SPOKEN = "<|im_end|><|im_start|>assistant ok"
 
 
