@@ -17,7 +17,7 @@ def _to_minimum(links: DataFrame, near: str, far: str) -> DataFrame:
     least = links.groupBy(near).agg(F.min(far).alias("m"))
     least = least.select(near, F.least(near, "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = links.withColumn("salt", F.pmod(F.xxhash64(far), F.lit(SALTS)).cast("int"))
-    return salted.join(least, [near, "salt"])
+    return salted.join(least.hint("merge"), [near, "salt"])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -15,13 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import slices
-from graphloom.llm.wordhash import Words, runs
+from graphloom.llm.wordhash import PIECE_BYTES, Words, pieces, runs
 
 WINDOW, SHINGLE = 10, 3
 #: Bytes of benchmark text whose windows one pass over the documents looks for; a larger benchmark takes more passes.
 BLOCK_BYTES = 8 << 20
-#: Texts above this are cut into overlapping pieces.
-PIECE_BYTES = 2 << 20
 FILTER_BITS = 21
 
 
@@ -126,24 +124,6 @@ class Prefixes:
         return [(a, w) for a, w in zip(start.tolist(), window.tolist()) if words.text(a, a + int(self.sizes[w])) == self.texts[w]]
 
 
-def _pieces(data: bytes, overlap: int):
-    """Words of pieces of a long text and the number of the first one in the text; neighbours share `overlap` words."""
-    at, base, size = 0, 0, PIECE_BYTES
-    while True:
-        words = Words([data[at : at + size]])
-        n = len(words.start)
-        if at + size >= len(data):
-            yield base, words, n
-            return
-        if n and words.end[-1] == len(words.data):  # may go on in the next piece
-            n -= 1
-        if n <= overlap + 1:
-            size *= 2
-            continue
-        yield base, words, n
-        at, base, size = at + int(words.start[n - overlap]), base + n - overlap, PIECE_BYTES
-
-
 def scan(prefixes: Prefixes, texts: list[bytes | None], window: int = WINDOW):
     """(number of words, sorted ranges of hit words, windows found) for each text."""
     out: list = [None] * len(texts)
@@ -159,7 +139,7 @@ def scan(prefixes: Prefixes, texts: list[bytes | None], window: int = WINDOW):
         out[short[k]][2].append(w)
     for k in set(range(len(texts))) - set(short):
         ranges, found, total = [], [], 0
-        for base, piece, n in _pieces(texts[k], window - 1):
+        for base, piece, n in pieces(texts[k], window - 1):
             total = base + n
             for start, w in prefixes.occurrences(piece):
                 if start + int(prefixes.sizes[w]) <= n:
@@ -192,7 +172,7 @@ def _count_pass(docs: DataFrame, tokens: Tokens, window: int) -> np.ndarray:
                         text = np.searchsorted(words.first, places, side="right")
                         counts += np.bincount(numbers[places + w <= words.first[text]], minlength=tokens.n)
                 for x in (x for x in rows if len(x or b"") > PIECE_BYTES):
-                    for _, words, n in _pieces(x, 0):
+                    for _, words, n in pieces(x, 0):
                         for w, places, numbers in tokens.found(words.hashes()):
                             counts += np.bincount(numbers[places + w <= n], minlength=tokens.n)
         seen = np.flatnonzero(counts)

@@ -28,6 +28,12 @@ def op3_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark, sf_dir):
+    from graphloom.llm.toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark, sf_dir):
     from pyspark.sql import functions as F
 

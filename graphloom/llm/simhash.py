@@ -182,4 +182,5 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
     classes = nodes.join(joined, "node", "left").where("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "node").alias("component"))
     classes = store(classes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    return salted.join(classes, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
+    # Spark takes the table of classes for as small as it was before the salt: no broadcast.
+    return salted.join(classes.hint("merge"), ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))

@@ -25,6 +25,8 @@ from graphloom.llm.common import shared_folder, store
 CHUNK_BYTES = 1 << 20
 #: A task starts a new archive beyond this.
 ARCHIVE_BYTES = 256 << 20
+#: A stretch of an archive that one task reads.
+READ_BYTES = 4 << 20
 LEVEL = 1
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -236,7 +238,11 @@ def read_chunks(entries: DataFrame, folder: str, with_data: bool = True) -> Data
         for f in files.values():
             f.close()
 
-    return entries.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, CHUNK_SCHEMA)
+    # Entries are small and what they point at is not: the number of tasks follows the archives' bytes.
+    total = entries.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()["b"]
+    tasks = max(1, entries.sparkSession.sparkContext.defaultParallelism, -(-int(total) // READ_BYTES))
+    parts = entries.select("archive", "offset", "length").repartition(tasks, "archive", F.floor(F.col("offset") / READ_BYTES))
+    return parts.sortWithinPartitions("archive", "offset").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def chunk_batch(rows):

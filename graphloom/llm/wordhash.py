@@ -50,18 +50,45 @@ class Words:
         self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, bounds)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, *prefixes: int):
+        """Each word's hash; with prefixes, also that of each word's first bytes, so many: a list of arrays then."""
         n = len(self.data)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(BASE, n), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _power(INVERSE, n + 1)[self.start]
-        return scramble(h ^ (self.end - self.start).astype(np.uint64))
+        back, begun, out = _power(INVERSE, n + 1)[self.start], sums[self.start], []
+        for most in (None, *prefixes):
+            end = self.end if most is None else np.minimum(self.end, self.start + most)
+            mark = np.uint64(0 if most is None else most << 48)
+            out.append(scramble(((sums[end] - begun) * back) ^ (end - self.start).astype(np.uint64) ^ mark))
+        return out if prefixes else out[0]
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b-1, joined by spaces."""
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist()))
 
 
+#: Texts above this are cut into pieces.
+PIECE_BYTES = 2 << 20
+
+
+def pieces(data: bytes, overlap: int = 0):
+    """(number of its first word in the text, its words, how many of them are whole) for pieces of a long text; neighbours share `overlap` words."""
+    at, base, size = 0, 0, PIECE_BYTES
+    while True:
+        words = Words([data[at : at + size]])
+        n = len(words.start)
+        if at + size >= len(data):
+            yield base, words, n
+            return
+        if n and words.end[-1] == len(words.data):  # may go on in the next piece
+            n -= 1
+        if n <= overlap + 1:
+            size *= 2
+            continue
+        yield base, words, n
+        at, base, size = at + int(words.start[n - overlap]) if overlap or n < len(words.start) else at + size, base + n - overlap, PIECE_BYTES
+
+
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     """The hash of each run of `width` words, over text ends too."""
     n = len(hashes) - width + 1
