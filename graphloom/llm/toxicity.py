@@ -123,18 +123,22 @@ def mined_tokens(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class LabelModel:
     """votes: rows x voters of 1 (toxic), 0 (nothing to say), -1 (clean). fit() gives each row's probability of toxic."""
 
-    def __init__(self, rounds: int = 30, smooth: float = 1.0):
-        self.rounds, self.smooth = rounds, smooth
+    def __init__(self, rounds: int = 30, smooth: float = 1.0, anchor: float = 1.0):
+        self.rounds, self.smooth, self.anchor = rounds, smooth, anchor
 
-    def fit(self, votes: np.ndarray, prior: float) -> np.ndarray:
+    def fit(self, votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
+        """gold: what is labelled toxic (1), clean (0) or not at all (nan). Votes on labelled rows enter each voter's
+        estimates as counts seen before, `anchor` times, or else a group of voters that fire together takes one class for itself."""
+        prior = float(np.clip(np.nanmean(gold), 0.005, 0.5)) if np.isfinite(gold).any() else 0.1
         kinds = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
         start = (votes == 1).sum(axis=1) - 0.5 * (votes == -1).sum(axis=1)
         p = np.clip(1 / (1 + np.exp(-2 * start + 1)), 0.02, 0.98)
         weight = np.ones(votes.shape[1])
+        seen = [[self.anchor * (k.T @ np.nan_to_num(q)) for k in kinds] for q in (1 - gold, gold)]
         for step in range(self.rounds):
             self.by_class = []  # how each voter votes on clean, on toxic texts
-            for q in (1 - p, p):
-                counts = np.stack([k.T @ q for k in kinds]) + self.smooth * np.array([[0.1], [1.0], [0.1]])
+            for q, before in zip((1 - p, p), seen):
+                counts = np.stack([k.T @ q for k in kinds]) + np.stack(before) + self.smooth * np.array([[0.1], [1.0], [0.1]])
                 self.by_class.append(counts / counts.sum(axis=0))
             prior = float(np.clip(0.5 * prior + 0.5 * p.mean(), 0.005, 0.5))
             if step % 5 == 4:
@@ -221,12 +225,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     voters = list(dict.fromkeys(voters))
     votes = np.column_stack([x[:, voters], x[:, size + 1]]).astype(np.int8) if n else np.zeros((0, len(voters) + 1), np.int8)
     votes = np.column_stack([votes, np.where(x[:, voters].any(axis=1), 0, -1)]).astype(np.int8)
-    prior = float(np.clip(got["label"].mean(), 0.005, 0.5)) if n else 0.1
     if not len(mined):  # too little is labelled: the lexicon alone decides
         weights = np.zeros(size + PATTERNS + 1)
         weights[[place[int(h)] for h in words]], weights[-1] = 3.0, -2.0
         return Model(table, weights)
-    posterior = LabelModel().fit(votes, prior)
+    posterior = LabelModel().fit(votes, got["label"].to_numpy())
     weights = logistic(x, posterior)
     slope, shift = calibrated(x @ weights[:-1] + weights[-1], got["label"].to_numpy())
     weights = weights * slope
