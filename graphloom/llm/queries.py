@@ -49,6 +49,12 @@ def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark, sf_dir):
+    from graphloom.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark, sf_dir):
     from graphloom.llm.decontaminate import digest, passages
 
