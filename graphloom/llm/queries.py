@@ -43,6 +43,12 @@ def op5_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_language(spark, sf_dir):
+    from graphloom.llm.langid import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark, sf_dir):
     from graphloom.llm.mixing import mix
 
