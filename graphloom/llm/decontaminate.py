@@ -185,7 +185,7 @@ def _count_pass(docs: DataFrame, tokens: Tokens, window: int) -> np.ndarray:
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """docs needs doc_id, text; benchmark item_id, text. A row for each of docs' rows: doc_id, n_words, spans, items.
+    """docs needs doc_id, text; benchmark item_id, text. A row for each of docs' rows: doc_id, text_hash, n_words, spans, items.
 
     spans: ranges (first word, word after the last) of hit words; items: sorted ids, as strings, of items with a window in
     the text. Null or empty texts have no words and hold nothing; nor does a benchmark without words find anything. An
@@ -217,11 +217,11 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingl
                     kinds = (pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays([*here, pa.array([n for n, _, _ in got], pa.int64()), pa.array(spans, kinds[0]), pa.array(items, kinds[1])], ["doc_id", "h", "g", "n_words", "spans", "items"])
 
-        # With more blocks than one, the hashes tell rows apart when their parts meet.
-        h, g = (F.xxhash64("text"), F.hash("text")) if blocks > 1 else (F.lit(0).cast("long"), F.lit(0))
+        # The hashes tell rows apart when their parts meet.
+        h, g = F.xxhash64("text"), F.hash("text")
         parts.append(docs.select("doc_id", "text", h.alias("h"), g.alias("g")).mapInArrow(run, schema))
     if blocks == 1:
-        return parts[0].drop("h", "g")
+        return parts[0].drop("g").withColumnRenamed("h", "text_hash")
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -236,7 +236,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingl
             F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["b"]).alias("b")))),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return both.select("doc_id", "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    return both.select("doc_id", F.col("h").alias("text_hash"), "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -73,15 +73,13 @@ def permuted(index: Column, size: Column, key: Column, seed: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), swapped)
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_least: int = BLOCKS_LEAST, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
-    """docs needs doc_id, source, text. Returns doc_id, source, size, source_size, target, taken, a row for each of docs' rows.
-
-    Null ids and repeated rows are rows like others. Texts that are null or have no word take nothing. An empty table
-    gives an empty result. Other columns of docs are left aside, so their names can't clash.
+def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_least: int = BLOCKS_LEAST, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
+    """The mix of docs (doc_id, source, text): doc_id, src, text_hash, size, first (the first word's place in the source's
+    stream), source_size, target, taken, pieces. A row for each of docs' rows. pieces: words a to b-1 of the text are
+    taken `uses` times.
     """
-    rows = docs.select("doc_id", F.col("source").alias("src"), words_of(F.col("text")).alias("size"))
-    rows = rows.select("*", F.xxhash64("doc_id", "size", F.lit(seed)).alias("h"))
-    sized = store(rows)
+    rows = docs.select("doc_id", F.col("source").alias("src"), words_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    sized = store(rows.withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(seed))))
     buckets = max(1, -(-sized.count() // BUCKET_ROWS))
     sized = sized.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     targets = source_targets(sized)
@@ -94,22 +92,55 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, blocks_least: int = BLO
     # Offsets: sums of the buckets before, and of the bucket's documents before.
     sums = sized.groupBy("src", "bucket").agg(F.sum("size").alias("sum"))
     offsets = sums.select("src", "bucket", (F.sum("sum").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("sum")).alias("offset"))
-    within = W.partitionBy("src", "bucket").orderBy("h", "doc_id", "size")
+    within = W.partitionBy("src", "bucket").orderBy("h", "doc_id", "text_hash")
     placed = sized.withColumn("start", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+    # Rows without a word share their places; a number tells them apart.
+    placed = placed.withColumn("nth", F.row_number().over(within))
     placed = placed.join(offsets, placed["src"].eqNullSafe(offsets["src"]) & (placed["bucket"] == offsets["bucket"]), "left").select(placed["*"], (F.col("start") + F.col("offset")).alias("first"))
-    placed = placed.join(plan, placed["src"].eqNullSafe(plan["src"]), "left").select("doc_id", placed["src"], "size", "h", "first", "rank", "source_size", "target", "len")
+    placed = placed.join(plan, placed["src"].eqNullSafe(plan["src"]), "left").select("doc_id", placed["src"], "text_hash", "size", "h", "nth", "first", "rank", "source_size", "target", "len")
     last = F.floor((F.col("first") + F.col("size") - 1) / F.col("len"))
     block = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / F.col("len")), last)).otherwise(F.array(-1 - F.pmod("h", F.lit(2**40))))
     pieces = placed.withColumn("block", F.explode(block))
-    overlap = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * F.col("len")) - F.greatest(F.col("first"), F.col("block") * F.col("len"))
-    pieces = pieces.withColumn("overlap", F.when(F.col("size") > 0, overlap).otherwise(F.lit(0)))
+    a = F.greatest(F.col("first"), F.col("block") * F.col("len")) - F.col("first")
+    b = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * F.col("len")) - F.col("first")
+    pieces = pieces.withColumn("a", F.when(F.col("size") > 0, a).otherwise(F.lit(0))).withColumn("b", F.when(F.col("size") > 0, b).otherwise(F.lit(0)))
     uses = block_uses(plan, shard_slots, seed).groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    joined = pieces.join(uses, ["rank", "block"], "left")
-    taken = F.sum(F.col("overlap") * F.coalesce("uses", F.lit(0)))
-    keys = ["doc_id", "src", "size", "h", "first", "source_size", "target"]
-    # Rows alike in all keys are words-free copies; they count as often as they came.
-    alike = joined.groupBy(*keys).agg(taken.alias("taken"), F.when(F.col("size") > 0, F.lit(1)).otherwise(F.count("*")).alias("n"))
-    return alike.select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_copy")).drop("_copy")
+    joined = pieces.join(uses, ["rank", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    keys = ["doc_id", "src", "text_hash", "size", "first", "nth", "source_size", "target"]
+    taken = F.sum((F.col("b") - F.col("a")) * F.col("uses"))
+    return joined.groupBy(*keys).agg(taken.alias("taken"), F.sort_array(F.collect_list(F.struct("a", "b", "uses"))).alias("pieces"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """docs needs doc_id, source, text. Returns doc_id, source, size, source_size, target, taken, a row for each of docs' rows.
+
+    Null ids and repeated rows are rows like others. Texts that are null or have no word take nothing. An empty table
+    gives an empty result. Other columns of docs are left aside, so their names can't clash.
+    """
+    return mixed(docs, **options).select("doc_id", F.col("src").alias("source"), "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: a row of docs comes back once for each pass that takes words of it, cut to the words taken.
+
+    A text that a pass takes whole is unchanged; of another, the words taken stand with single spaces. n_chars, where docs
+    have it, is the new text's. Texts without a word are in no pass. Names that begin with _mix_ are taken.
+    """
+    key = ["_mix_id", "_mix_hash", "_mix_nth"]
+    # Equal rows are numbered on both sides; which of them meets which makes no difference.
+    parts = mixed(docs, **options).where("taken > 0").select(F.xxhash64("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), "first", F.col("pieces").alias("_mix_pieces"))
+    parts = parts.withColumn("_mix_nth", F.row_number().over(W.partitionBy("_mix_id", "_mix_hash").orderBy("first"))).drop("first")
+    kept = docs.withColumn("_mix_id", F.xxhash64("doc_id")).withColumn("_mix_hash", F.xxhash64("text"))
+    kept = kept.withColumn("_mix_nth", F.row_number().over(W.partitionBy("_mix_id", "_mix_hash").orderBy(F.lit(0))))
+    passes = F.sequence(F.lit(1), F.array_max(F.transform("_mix_pieces", lambda p: p["uses"])).cast("int"))
+    met = kept.join(parts, key).withColumn("_mix_pass", F.explode(passes))
+    words = F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0))
+    met = met.withColumn("_mix_whole", F.forall("_mix_pieces", lambda p: p["uses"] >= F.col("_mix_pass")))
+    runs = F.flatten(F.transform(F.filter("_mix_pieces", lambda p: p["uses"] >= F.col("_mix_pass")), lambda p: F.slice(words, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))))
+    out = met.withColumn("text", F.when(F.col("_mix_whole"), F.col("text")).otherwise(F.array_join(runs, " ")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def block_uses(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:

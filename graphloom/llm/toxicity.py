@@ -246,11 +246,11 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     keep = keep or ["doc_id"]
     schema = docs.select(*keep).schema.add("score", "double")
-    inner = docs.select(*keep, F.col("text").alias("_text"))
+    inner = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
 
     def run(batches):
         for batch in batches:
-            for first, rows in slices(batch.column(batch.num_columns - 1)):
+            for first, rows in slices(batch.column("text")):
                 kept = [batch.column(k).slice(first, len(rows)) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(model.value.score(rows))], schema.names)
 
