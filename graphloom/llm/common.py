@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import shared_folder, store  # noqa: F401
+
 #: Bytes of text that a Python operator takes out of an Arrow batch at a time.
 SLICE_BYTES = 4 << 20
 
@@ -17,32 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that the driver and every executor see; removed when the driver's JVM ends.
-
-    It lies in spark.checkpoint.dir. Only where that is unset (tests, a single machine) a temporary folder stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.gettempdir() + "/graphloom-checkpoints"
-    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    path = fs.makeQualified(path)
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return path.toString()
-
-
-def store(df: DataFrame) -> DataFrame:
-    """df as a table written in the shared folder: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    folder = shared_folder(spark) + "/t"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
