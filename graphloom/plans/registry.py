@@ -308,7 +308,11 @@ def _j18(c):
 
 # Aggregations.
 add("a1_overload_groups", lambda c: identity.overload_groups(c.records), "SELECT parent, name, count(*) AS n FROM function_rec GROUP BY parent, name HAVING count(*) > 1")
-add("a2_collisions", lambda c: identity.collisions(c.ingest.structs_all, c.ingest.functions_claimed, c.ingest.structs).select("fqn"), "SELECT DISTINCT fqn FROM (SELECT fqn FROM s_all GROUP BY fqn HAVING count(DISTINCT id) > 1 UNION SELECT fqn FROM f_cl GROUP BY fqn HAVING count(*) > 1) x")
+add(
+    "a2_collisions",
+    lambda c: identity.collisions(c.ingest.structs_all.withColumn("fqn", X.parent_of(F.col("fqn"))), c.ingest.functions_claimed.where(F.col("id").endswith("7")).withColumn("fqn", X.parent_of(F.col("fqn"))), c.ingest.structs.limit(0)).select("fqn").distinct(),
+    r"SELECT DISTINCT fqn FROM (SELECT regexp_replace(fqn, '\.?[^.]*$', '') AS fqn FROM s_all GROUP BY 1 HAVING count(DISTINCT id) > 1 UNION SELECT regexp_replace(fqn, '\.?[^.]*$', '') FROM f_cl WHERE ends_with(id, '7') GROUP BY 1 HAVING count(*) > 1) x",
+)
 add("a3_distinct_edges", lambda c: count_by(c.ingest.allowed_edges, "rel"), "SELECT rel, count(*) AS n FROM allowed GROUP BY rel")
 add("a4_first_wins", lambda c: identity.first_by(c.records.where("type = 'unresolved'"), "fqn", "category"), "SELECT fqn, category FROM un_first")
 add("a5_ingest_report", lambda c: c.ingest.report, f"""SELECT 'skipped' AS metric, ((SELECT count(*) FROM module_rec WHERE {BL.format('fqn')}) + (SELECT count(*) FROM s_all WHERE {BL.format('fqn')}) + (SELECT count(*) FROM file_rec WHERE {BL.format('parent')})
@@ -344,12 +348,17 @@ def _callee(c: Context) -> str:
     return c.graph.edges.where("rel = 'Calls'").groupBy("dst").count().orderBy(F.col("count").desc(), "dst").first()["dst"]
 
 
+def _module(c: Context) -> str:
+    return c.graph.edges.where("rel = 'Contains' AND src_kind = 'Module' AND dst_kind = 'File'").agg(F.min("src").alias("m")).first()["m"]
+
+
+_MODULE = "(SELECT min(src) FROM e_fin WHERE rel = 'Contains' AND src_kind = 'Module' AND dst_kind = 'File')"
 _FILE, _TYPE = "(SELECT min(src) FROM e_fin WHERE src_kind = 'File')", "(SELECT min(src) FROM e_fin WHERE rel = 'Contains' AND src_kind = 'Struct' AND dst_kind = 'Struct')"
 _IN = f"SELECT {_PLACE} FROM n_fin WHERE fqn IN "
 add("t1_find_symbol", lambda c: tools.find_symbol(c.graph, "nation_2").drop("path"), f"SELECT fqn, kind, s_line::BIGINT AS start_line, e_line::BIGINT AS end_line, code_type FROM (SELECT * REPLACE (coalesce(s_line, 0) AS s_line, coalesce(e_line, 0) AS e_line) FROM n_fin) x WHERE contains(fqn, 'nation_2')")
 add("t2_modules", lambda c: tools.modules(c.graph), "SELECT fqn FROM n_fin WHERE kind = 'Module'")
-add("t3_module_files", lambda c: tools.module_files(c.graph, "america.nation_2"), _IN + "(SELECT dst FROM e_fin WHERE rel = 'Contains' AND src = 'america.nation_2' AND dst_kind = 'File')")
-add("t4_module_structs", lambda c: tools.module_structs(c.graph, "america.nation_2"), _IN + "(SELECT b.dst FROM e_fin a JOIN e_fin b ON b.src = a.dst WHERE a.rel = 'Contains' AND a.src = 'america.nation_2' AND a.dst_kind = 'File' AND b.rel = 'Contains' AND b.dst_kind = 'Struct')")
+add("t3_module_files", lambda c: tools.module_files(c.graph, _module(c)), _IN + f"(SELECT dst FROM e_fin WHERE rel = 'Contains' AND src = {_MODULE} AND dst_kind = 'File')")
+add("t4_module_structs", lambda c: tools.module_structs(c.graph, _module(c)), _IN + f"(SELECT b.dst FROM e_fin a JOIN e_fin b ON b.src = a.dst WHERE a.rel = 'Contains' AND a.src = {_MODULE} AND a.dst_kind = 'File' AND b.rel = 'Contains' AND b.dst_kind = 'Struct')")
 add("t5_file_units", lambda c: tools.file_units(c.graph, _file(c)), _IN + f"(SELECT dst FROM e_fin WHERE rel = 'Contains' AND src = {_FILE})")
 add("t6_file_path", lambda c: tools.file_path(c.graph, _file(c)), f"SELECT src AS module, dst AS path FROM e_fin WHERE rel = 'Contains' AND src_kind = 'Module' AND dst = {_FILE}")
 add("t7_methods", lambda c: tools.methods(c.graph, _type(c)), _IN + f"(SELECT dst FROM e_fin WHERE rel = 'Contains' AND dst_kind = 'Function' AND src = {_TYPE})")
