@@ -228,14 +228,15 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingl
     both = every.groupBy("doc_id", "h", "g", "n_words").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / blocks).cast("int").alias("copies")
     )
-    joined = F.aggregate(
-        "spans",
-        F.slice("spans", 1, 0),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["b"] >= s["a"]),
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["b"]).alias("b")))),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
+    spans = "array<struct<a: bigint, b: bigint>>"
+
+    def joined_span(done, s):
+        last = F.element_at(done, -1)
+        grown = F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b")))
+        meets = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["b"] >= s["a"])
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), grown.cast(spans)).cast(spans)).otherwise(F.concat(done, F.array(s).cast(spans)).cast(spans))
+
+    joined = F.aggregate(F.col("spans").cast(spans), F.array().cast(spans), joined_span)
     return both.select("doc_id", F.col("h").alias("text_hash"), "n_words", joined.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
 
 
