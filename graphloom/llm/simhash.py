@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import slices, store
 from graphloom.llm.components import components
+from graphloom.llm.wordhash import scramble
 
 SHINGLE_WORDS, SEED, BITS, MOST_DIFFERING = 3, 42, 64, 3
 #: Fingerprints that one group compares are twice this at most.
@@ -121,13 +122,14 @@ def grid_masks(groups: int = 6, most: int = MOST_DIFFERING) -> list[int]:
 
 
 def spanning_links(fps: np.ndarray, most: int = MOST_DIFFERING) -> list[tuple[int, int]]:
-    """Links (positions in fps) that join what is joined within fps, one fewer than each component has members."""
+    """Links (rows of fps) that join what is joined within fps, one fewer than each component has members. fps: one word a row, or several."""
+    fps = fps.reshape(len(fps), -1)
     links, left = [], np.arange(len(fps))
     while len(left):
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             here = frontier.pop()
-            near = np.bitwise_count(fps[left] ^ fps[here]) <= most
+            near = np.bitwise_count(fps[left] ^ fps[here]).sum(axis=1, dtype=np.int64) <= most
             if near.any():
                 found = left[near]
                 links += [(here, x) for x in found]
@@ -136,37 +138,48 @@ def spanning_links(fps: np.ndarray, most: int = MOST_DIFFERING) -> list[tuple[in
     return links
 
 
-def near_links(nodes: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
-    """nodes: fp (distinct), node. Links u, v of nodes whose fingerprints differ in `most` bits at most, enough to join all that are joined."""
-    masks = F.array(*[F.struct(F.lit(k).alias("grid"), F.lit(m).alias("mask")) for k, m in enumerate(grid_masks(most=most))])
-    points = nodes.withColumn("g", F.explode(masks)).select("fp", "node", F.xxhash64("g.grid", popcounts(F.col("fp")).bitwiseAND(F.col("g.mask"))).alias("cell"))
+def cell_groups(points: DataFrame, value: list[str]) -> DataFrame:
+    """points: cell and the columns `value`, the first of which tells points apart. Returns m, arrays of structs of `value`.
+
+    All points of a cell are one group, if they are CELL_ROWS at most. A larger cell is cut into parts, and each two parts
+    are a group: every two points of a cell meet, and no group has more than about twice CELL_ROWS.
+    """
     sizes = points.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / CELL_ROWS).cast("int")
-    met = points.join(sizes, "cell").withColumn("parts", parts)
-    met = met.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int"))
-    # A part meets itself and each other part: group (smaller, greater). With one part, that is (0, 0) alone.
+    met = points.join(sizes, "cell").withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("int"))
+    met = met.withColumn("part", F.pmod(F.xxhash64(value[0], F.lit(5)), F.col("parts")).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     met = met.withColumn("other", F.explode(others))
     pairs = met.where((F.col("parts") == 1) | (F.col("part") != F.col("other")))  # a part's own links come up in its groups with others
-    grouped = pairs.groupBy("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).agg(F.sort_array(F.collect_list(F.struct("fp", "node"))).alias("m"))
-    grouped = store(grouped.where(F.size("m") > 1))
-    two = grouped.where(F.size("m") == 2).select(F.col("m")[0]["fp"].alias("f"), F.col("m")[1]["fp"].alias("g"), F.col("m")[0]["node"].alias("u"), F.col("m")[1]["node"].alias("v"))
-    two = two.where(manhattan(popcounts(F.col("f")), popcounts(F.col("g"))) <= most).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= most)
+    grouped = pairs.groupBy("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).agg(F.sort_array(F.collect_list(F.struct(*value))).alias("m"))
+    return store(grouped.where(F.size("m") > 1).select("m"))
+
+
+def links_within(groups: DataFrame, words: list[str], most: int) -> DataFrame:
+    """u, v: spanning links of each group of cell_groups, of nodes that differ in `most` bits at most over `words`."""
 
     def run(batches):
         for batch in batches:
             us, vs = [], []
             for members in batch.column("m"):
                 values = members.values
-                fps = values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                fps = np.column_stack([values.field(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words])
                 ids = values.field("node").to_numpy(zero_copy_only=False)
                 for i, j in spanning_links(fps, most):
                     us.append(ids[i])
                     vs.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    many = grouped.where(F.size("m") > 2).select("m").mapInArrow(run, "u long, v long")
-    return two.select("u", "v").unionByName(many)
+    return groups.mapInArrow(run, "u long, v long")
+
+
+def near_links(nodes: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
+    """nodes: fp (distinct), node. Links u, v of nodes whose fingerprints differ in `most` bits at most, enough to join all that are joined."""
+    masks = F.array(*[F.struct(F.lit(k).alias("grid"), F.lit(m).alias("mask")) for k, m in enumerate(grid_masks(most=most))])
+    points = nodes.withColumn("g", F.explode(masks)).select("fp", "node", F.xxhash64("g.grid", popcounts(F.col("fp")).bitwiseAND(F.col("g.mask"))).alias("cell"))
+    grouped = cell_groups(points, ["fp", "node"])
+    two = grouped.where(F.size("m") == 2).select(F.col("m")[0]["fp"].alias("f"), F.col("m")[1]["fp"].alias("g"), F.col("m")[0]["node"].alias("u"), F.col("m")[1]["node"].alias("v"))
+    two = two.where(manhattan(popcounts(F.col("f")), popcounts(F.col("g"))) <= most).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= most)
+    return two.select("u", "v").unionByName(links_within(grouped.where(F.size("m") > 2), ["fp"], most))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOST_DIFFERING) -> DataFrame:
@@ -184,3 +197,67 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
     salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
     # Spark takes the table of classes for as small as it was before the salt: no broadcast.
     return salted.join(classes.hint("merge"), ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
+
+
+# Similar documents: the same fingerprints, longer, for similarities at which 64 bits differ in too many places for a grid.
+
+SIMILAR_WIDTH, SIMILARITY = 5, 0.8
+#: Words of 64 bits of a long fingerprint, and shingles of a document that serve as its cells.
+LONG_WORDS, ANCHORS = 8, 4
+SIGNATURE = [f"s{k}" for k in range(LONG_WORDS)]
+
+
+def differing_bits(similarity: float) -> int:
+    """Of a long fingerprint's bits, how many differ at a Jaccard similarity: the angle's share of them, and a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = BITS * LONG_WORDS
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def signature(data: bytes | None, width: int = SIMILAR_WIDTH) -> tuple[list[int], list[int]]:
+    """The long fingerprint, and the ANCHORS smallest hashes of different shingles. No word: zeros and one anchor, 0."""
+    ones, n, anchors = np.zeros((LONG_WORDS, BITS), dtype=np.int64), 0, np.zeros(0, dtype=np.uint64)
+    for hashes in shingle_hashes(data or b"", width):
+        n += len(hashes)
+        anchors = np.unique(np.concatenate([anchors, np.unique(hashes)[:ANCHORS]]))[:ANCHORS]
+        padded = np.zeros((LONG_WORDS, -(-len(hashes) // 255) * 255), dtype=np.uint64)
+        for k in range(LONG_WORDS):
+            padded[k, : len(hashes)] = scramble(hashes + np.uint64(k))
+        for bit in range(8):
+            counts = ((padded >> np.uint64(bit)) & LOW_BITS).reshape(LONG_WORDS, -1, 255).sum(axis=2, dtype=np.uint64)
+            ones[:, bit::8] += counts.view(np.uint8).reshape(LONG_WORDS, -1, 8).sum(axis=1, dtype=np.int64)
+    if not n:
+        return [0] * LONG_WORDS, [0]
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist(), anchors.view(np.int64).tolist()
+
+
+def signatures(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
+    """doc_id, s0 to s7, anchors, a row for each of docs' rows."""
+
+    def run(batches):
+        for batch in batches:
+            for first, rows in slices(batch.column("text")):
+                got = [signature(x, width) for x in rows]
+                words = [pa.array([s[k] for s, _ in got], pa.int64()) for k in range(LONG_WORDS)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), *words, pa.array([a for _, a in got], pa.list_(pa.int64()))], ["doc_id", *SIGNATURE, "anchors"])
+
+    words = ", ".join(f"{s} long" for s in SIGNATURE)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {words}, anchors array<long>")
+
+
+def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """docs needs doc_id, text. Returns doc_id, component: the smallest doc_id reachable over links of similar texts.
+
+    Texts are similar if their shingle sets have this Jaccard similarity, as long fingerprints tell it. Two of similarity
+    0.8 share one of their ANCHORS smallest shingles in all but 0.2 % of cases, so these are the cells; within them the
+    fingerprints decide. Equal fingerprints count once. Null and empty texts are one group; a row with a null doc_id links
+    nothing, and its component is its fingerprint's, or null. Other columns are left aside.
+    """
+    marked = store(signatures(docs, width))
+    nodes = store(marked.groupBy(*SIGNATURE).agg(F.min("doc_id").cast("long").alias("node"), F.min("anchors").alias("anchors"), F.count("*").alias("n")))
+    points = nodes.where("node IS NOT NULL").select("node", *SIGNATURE, F.explode("anchors").alias("cell"))
+    joined = components(links_within(cell_groups(points, ["node", *SIGNATURE]), SIGNATURE, differing_bits(similarity)))
+    classes = nodes.join(joined, "node", "left").where("n > 1 OR component IS NOT NULL").select(*SIGNATURE, F.coalesce("component", "node").alias("component"))
+    classes = store(classes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = marked.select("doc_id", *SIGNATURE).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return salted.join(classes.hint("merge"), [*SIGNATURE, "salt"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))

@@ -68,6 +68,26 @@ def test_fingerprints_and_components_are_the_brute_force_ones(spark):
     assert want[204] == want[205] == 203 and want[207] == 206
 
 
+def test_similar_documents(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(words(200, 3000 + k)), "a") for k in range(60)]
+    for k in range(40):  # copies with a few words changed, and with many
+        for copy, changes in ((1000, 2), (2000, 40)):
+            text = rows[k][1].split()
+            for at in rng.choice(200, changes, replace=False):
+                text[at] = f"new{rng.integers(10**6)}"
+            rows.append((copy + k, " ".join(text), "b"))
+    rows += [(3000, "few words", "a"), (3001, "Few  words", "b"), (3002, None, "a"), (3003, "", "a"), (3004, rows[50][1].upper(), "c"), (None, rows[51][1], "c"), (None, "lost", "c"), (3005, "x " * 600_000, "a")]
+    got = {}
+    for r in simhash.similar_documents(docs(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append(r["component"])
+    assert sum(map(len, got.values())) == len(rows)
+    assert all(got[1000 + k] == [k] for k in range(40)) and all(got[2000 + k] == [2000 + k] for k in range(40))
+    assert got[3001] == got[3000] == [3000] and got[3003] == [3002] and got[3004] == [50] and sorted(got[None], key=str) == [51, None]
+    assert simhash.similar_documents(docs(spark, []).limit(0)).count() == 0
+
+
 def test_long_texts_are_cut_without_a_trace(monkeypatch):
     text = (" ".join(words(5000, 3)) + "\n" + "y" * 4000 + " tail").encode()
     whole = simhash.fingerprint(text)
