@@ -28,6 +28,8 @@ LEXICON = (
 ).split()
 PREFIXES = (4, 6)
 SAMPLE_ROWS, VOCABULARY, MINED_VOTERS = 12_000, 1_000, 200
+#: A token is dense in a text of which it makes up this share: some insults are made of parts that clean texts have now and then.
+DENSE = 0.01
 #: A mined token is in so many labelled rows at least, with this much log-likelihood ratio.
 LEAST_ROWS, LEAST_RATIO = 3, 15.0
 PATTERNS = 4
@@ -52,14 +54,16 @@ def token_hashes(words: Words) -> list[np.ndarray]:
 
 
 def tokens_of(texts: list[bytes | None], table: np.ndarray | None = None):
-    """(text, token) pairs, each once, and the texts' sums. Tokens are hashes, or places in `table`, a sorted array of hashes."""
-    stats = np.zeros((len(texts), PATTERNS))
+    """(text, token) pairs, each once, whether the token is dense in the text, and the texts' sums. Tokens are hashes, or
+    places in `table`, a sorted array of hashes."""
+    stats, sizes = np.zeros((len(texts), PATTERNS)), np.zeros(len(texts))
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     if table is not None:
         first = np.zeros(1 << 20, dtype=bool)
         first[table >> np.uint64(44)] = True
 
     def add(words: Words, whole: int, text_of: np.ndarray):
+        sizes[:] += np.bincount(text_of[:whole], minlength=len(texts))
         for h in token_hashes(words):
             h, t = h[:whole], text_of[:whole]
             if table is not None:
@@ -88,36 +92,44 @@ def tokens_of(texts: list[bytes | None], table: np.ndarray | None = None):
     text, token = text[order], token[order]
     new = np.ones(len(text), dtype=bool)
     new[1:] = (text[1:] != text[:-1]) | (token[1:] != token[:-1])
-    return text[new], token[new], stats
+    times = np.diff(np.append(np.flatnonzero(new), len(text)))
+    return text[new], token[new], times >= DENSE * sizes[text[new]], stats
 
 
 def lexicon_hashes() -> np.ndarray:
     return Words([" ".join(LEXICON).encode()]).hashes()
 
 
-def mined_tokens(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of tokens that tell labels apart, best first, and whether they speak for toxic. sample: text, label."""
+def mined_tokens(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of tokens that tell labels apart, best first; whether they do it by being dense or by being there; and
+    whether they speak for toxic. sample: text, label."""
 
     def run(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
                 label = batch.column("label").slice(first, len(rows)).to_numpy(zero_copy_only=False)
-                text, token, _ = tokens_of(rows)
+                text, token, dense, _ = tokens_of(rows)
                 keys, at = np.unique(token, return_inverse=True)
-                ones = np.bincount(at, weights=label[text], minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ones), pa.array(np.bincount(at, minlength=len(keys)))], ["token", "ones", "n"])
+                sums = [np.bincount(at, weights=w, minlength=len(keys)).astype(np.int64) for w in (label[text], np.ones(len(text)), label[text] * dense, dense)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["token", "ones", "n", "dense_ones", "dense_n"])
 
     totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first()
     n, ones = totals["n"], totals["ones"]
     if not 0 < ones < n:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
     rate = ones / n
-    a, b = F.col("ones"), F.col("n") - F.col("ones")
-    term = lambda x, share: F.when(x > 0, x * F.log(x / (F.col("n") * share))).otherwise(0.0)
-    counted = sample.select("text", "label").mapInArrow(run, "token long, ones long, n long").groupBy("token").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
-    scored = counted.where(F.col("n") >= LEAST_ROWS).withColumn("ratio", 2 * (term(a, F.lit(rate)) + term(b, F.lit(1 - rate)))).where(F.col("ratio") >= LEAST_RATIO)
-    best = scored.orderBy(F.col("ratio").desc(), "token").limit(VOCABULARY).select("token", (F.col("ones") / F.col("n") > rate).alias("toxic")).collect()
-    return np.array([r["token"] for r in best], np.int64).view(np.uint64), np.array([r["toxic"] for r in best], bool)
+
+    def ratio(hits, rows):
+        term = lambda x, share: F.when(x > 0, x * F.log(x / (rows * share))).otherwise(0.0)
+        return F.when(rows >= LEAST_ROWS, 2 * (term(hits, F.lit(rate)) + term(rows - hits, F.lit(1 - rate)))).otherwise(0.0)
+
+    counted = sample.select("text", "label").mapInArrow(run, "token long, ones long, n long, dense_ones long, dense_n long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("ones", "n", "dense_ones", "dense_n")])
+    there, dense = ratio(F.col("ones"), F.col("n")), ratio(F.col("dense_ones"), F.col("dense_n"))
+    scored = counted.withColumn("there", there).withColumn("dense", dense).where(F.greatest("there", "dense") >= LEAST_RATIO)
+    by_dense = F.col("dense") > F.col("there")
+    toxic = F.when(by_dense, F.col("dense_ones") / F.col("dense_n")).otherwise(F.col("ones") / F.col("n")) > rate
+    best = scored.orderBy(F.greatest("there", "dense").desc(), "token").limit(VOCABULARY).select("token", by_dense.alias("by_dense"), toxic.alias("toxic")).collect()
+    return np.array([r["token"] for r in best], np.int64).view(np.uint64), np.array([r["by_dense"] for r in best], bool), np.array([r["toxic"] for r in best], bool)
 
 
 class LabelModel:
@@ -149,7 +161,8 @@ class LabelModel:
         return p
 
     def discounts(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """1 / (1 + what a voter shares with the others): correlations of the votes, less what the class explains."""
+        """1 / sqrt(1 + what a voter shares with the others): correlations of the votes, less what the class explains. So does
+        the spread of a sum of correlated votes grow over that of independent ones."""
         means = [self.by_class[c][2] - self.by_class[c][0] for c in (0, 1)]
         left = votes - ((1 - p)[:, None] * means[0] + p[:, None] * means[1])
         cover = left.T @ left / len(votes)
@@ -157,7 +170,7 @@ class LabelModel:
         self.correlation = cover / np.outer(spread, spread)
         shared = np.where(np.abs(self.correlation) > 0.1, np.maximum(self.correlation, 0), 0)
         np.fill_diagonal(shared, 0)
-        return 1 / (1 + shared.sum(axis=1))
+        return 1 / np.sqrt(1 + shared.sum(axis=1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300, step: float = 0.1) -> np.ndarray:
@@ -185,13 +198,16 @@ def calibrated(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
 
 
 class Model:
+    """Weights of: tokens of `table` that are there, tokens that are dense, patterns, and the bias."""
+
     def __init__(self, table: np.ndarray, weights: np.ndarray):
         self.table, self.weights = table, weights
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        text, token, stats = tokens_of(texts, self.table)
-        n = len(self.table)
-        z = np.bincount(text, weights=self.weights[:n][token.astype(np.int64)], minlength=len(texts)) + patterns(stats) @ self.weights[n:-1] + self.weights[-1]
+        text, token, dense, stats = tokens_of(texts, self.table)
+        n, token = len(self.table), token.astype(np.int64)
+        gain = self.weights[:n][token] + dense * self.weights[n : 2 * n][token]
+        z = np.bincount(text, weights=gain, minlength=len(texts)) + patterns(stats) @ self.weights[2 * n : -1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -201,34 +217,34 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = bounded_sample(known, "doc_id", rows)
     sample = store(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"))  # `rows` bounds what is broadcast
-    mined, toxic = mined_tokens(sample)
+    mined, by_dense, toxic = mined_tokens(sample)
     words = lexicon_hashes()
     table = np.unique(np.concatenate([mined, words]))
+    size, place = len(table), {int(h): k for k, h in enumerate(table)}
+    if not len(mined):  # too little is labelled: the lexicon alone decides
+        weights = np.zeros(2 * size + PATTERNS + 1)
+        weights[[place[int(h)] for h in words]], weights[-1] = 3.0, -2.0
+        return Model(table, weights)
 
     def run(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
-                text, token, stats = tokens_of(rows, table)
-                cuts = np.searchsorted(text, np.arange(len(rows) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(token.astype(np.int32)))
+                text, token, dense, stats = tokens_of(rows, table)
+                cuts = pa.array(np.searchsorted(text, np.arange(len(rows) + 1)), pa.int32())
+                code = token.astype(np.int32) * 2 + dense
                 marks = pa.array(list(patterns(stats)), pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, len(rows)), lists, marks], ["label", "tokens", "patterns"])
+                yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, len(rows)), pa.ListArray.from_arrays(cuts, pa.array(code.astype(np.int32))), marks], ["label", "tokens", "patterns"])
 
     got = sample.mapInArrow(run, "label double, tokens array<int>, patterns array<float>").toPandas()
-    n, size = len(got), len(table)
-    x = np.zeros((n, size + PATTERNS), np.float32)
+    x = np.zeros((len(got), 2 * size + PATTERNS), np.float32)
     for k, (t, m) in enumerate(zip(got["tokens"], got["patterns"])):
-        x[k, t] = 1
-        x[k, size:] = m
-    place = {int(h): k for k, h in enumerate(table)}
-    voters = [place[int(h)] for h in words] + [place[int(h)] for h, t in zip(mined, toxic) if t][:MINED_VOTERS]
+        t = np.asarray(t, dtype=np.int64)
+        x[k, t // 2] = 1
+        x[k, size + t[t % 2 == 1] // 2] = 1
+        x[k, 2 * size :] = m
+    voters = [place[int(h)] for h in words] + [place[int(h)] + size * d for h, d, t in zip(mined, by_dense, toxic) if t][:MINED_VOTERS]
     voters = list(dict.fromkeys(voters))
-    votes = np.column_stack([x[:, voters], x[:, size + 1]]).astype(np.int8) if n else np.zeros((0, len(voters) + 1), np.int8)
-    votes = np.column_stack([votes, np.where(x[:, voters].any(axis=1), 0, -1)]).astype(np.int8)
-    if not len(mined):  # too little is labelled: the lexicon alone decides
-        weights = np.zeros(size + PATTERNS + 1)
-        weights[[place[int(h)] for h in words]], weights[-1] = 3.0, -2.0
-        return Model(table, weights)
+    votes = np.column_stack([x[:, voters], x[:, 2 * size + 1], -(x[:, voters].sum(axis=1) == 0).astype(np.float32)]).astype(np.int8)
     posterior = LabelModel().fit(votes, got["label"].to_numpy())
     weights = logistic(x, posterior)
     slope, shift = calibrated(x @ weights[:-1] + weights[-1], got["label"].to_numpy())
