@@ -161,8 +161,8 @@ class LabelModel:
         return p
 
     def discounts(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """1 / sqrt(1 + what a voter shares with the others): correlations of the votes, less what the class explains. So does
-        the spread of a sum of correlated votes grow over that of independent ones."""
+        """1 / (1 + what a voter shares with the others): squared correlations of the votes, less what the class explains. An
+        echo of k voters counts as one; voters with little in common keep their say."""
         means = [self.by_class[c][2] - self.by_class[c][0] for c in (0, 1)]
         left = votes - ((1 - p)[:, None] * means[0] + p[:, None] * means[1])
         cover = left.T @ left / len(votes)
@@ -170,7 +170,7 @@ class LabelModel:
         self.correlation = cover / np.outer(spread, spread)
         shared = np.where(np.abs(self.correlation) > 0.1, np.maximum(self.correlation, 0), 0)
         np.fill_diagonal(shared, 0)
-        return 1 / np.sqrt(1 + shared.sum(axis=1))
+        return 1 / (1 + (shared**2).sum(axis=1))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300, step: float = 0.1) -> np.ndarray:
