@@ -12,11 +12,16 @@ from graphloom.operators.classify import load_config
 from graphloom.plans.cypher import query
 from graphloom.plans.ingest import Cleanup, Ingest, graph_sizes
 from graphloom.sinks import store as sink
+from graphloom.sources import cfamily
 from graphloom.sources.command import command_records
 from graphloom.sources.project import WORKSPACE, Frontends, detect_language, find_or_create_workspace, find_workspace
 from graphloom.storage import store
 
 
+#: Scanners that need no external command.
+BUILT_IN = {"cpp": cfamily.records}
+
+
 @dataclass
 class ScanOptions:
     project: str = "."
@@ -44,13 +49,16 @@ def publish(graph: Graph, workspace: str | Path) -> None:
 def scan(spark: SparkSession, options: ScanOptions) -> dict[str, int]:
     """Runs the language's scanner on the project and publishes its graph in the workspace; the report as metric -> n."""
     workspace = find_or_create_workspace(options.project)
-    available = options.frontends.available()
-    language = options.language or detect_language(options.project, tuple(available)) or (available[0] if available else None)
-    command = options.frontends.command(language) if language else None
-    if command is None:
-        raise LookupError(f"no scanner for {language or 'any language'}")
+    available = list(dict.fromkeys([*options.frontends.available(), *BUILT_IN]))
+    language = options.language or detect_language(options.project, tuple(available)) or available[0]
+    command = options.frontends.command(language)
+    if command is None and language not in BUILT_IN:
+        raise LookupError(f"no scanner for {language}")
     arguments = [str(Path(options.project).resolve()), *[x for e in options.excludes for x in ("--exclude", e)], *[x for m in options.modules for x in ("--module", m)]]
-    records = command_records(spark, [[*command, *arguments]], log=str(workspace / "scan.log"))
+    if command:
+        records = command_records(spark, [[*command, *arguments]], log=str(workspace / "scan.log"))
+    else:
+        records = BUILT_IN[language](spark, str(Path(options.project).resolve()), options.excludes)
     config = load_config(workspace.parent, WORKSPACE)
     graph, report = build(records, language, options.blacklist, options.excludes, config)
     publish(graph, workspace)
