@@ -176,13 +176,17 @@ def block_uses(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
         .withColumn("want_to", F.sum(F.col("quota") - F.col("got")).over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("want_from", F.col("want_to") - F.col("quota") + F.col("got"))
     )
-    wanted = wants.groupBy(F.lit(0).alias("line")).agg(F.collect_list(F.struct("rank", "got", "want_from", "want_to")).alias("wants"))
-    over = over.withColumn("over_from", F.col("over_to") - F.col("m")).withColumn("line", F.lit(0))
-    moved = (
-        over.join(wanted, "line").withColumn("w", F.explode("wants"))
-        .where((F.col("w.want_from") < F.col("over_to")) & (F.col("w.want_to") > F.col("over_from")))
-        .withColumn("from", F.greatest("over_from", "w.want_from")).withColumn("till", F.least("over_to", "w.want_to"))
-        .select("shard", "w.rank", (F.col("w.got") + F.col("from") - F.col("w.want_from")).alias("first"), (F.col("till") - F.col("from")).alias("n"))
+    # All ends of both kinds of intervals, in order, cut the line into pieces of one shard and one source each.
+    ends = over.select(F.col("over_to").alias("at"), "shard", F.lit(None).alias("want")).unionByName(
+        wants.select(F.col("want_to").alias("at"), F.lit(None).cast("long").alias("shard"), F.struct("rank", "got", "want_from").alias("want"))
+    )
+    ends = ends.groupBy("at").agg(F.max("shard").alias("shard"), F.max("want").alias("want"))
+    onward = W.orderBy("at").rowsBetween(W.currentRow, W.unboundedFollowing)
+    pieces = ends.select(
+        "at", F.lag("at", 1, 0).over(W.orderBy("at")).alias("from"), F.first("shard", ignorenulls=True).over(onward).alias("shard"), F.first("want", ignorenulls=True).over(onward).alias("want")
+    )
+    moved = pieces.where("shard IS NOT NULL AND want IS NOT NULL").select(
+        "shard", "want.rank", (F.col("want.got") + F.col("from") - F.col("want.want_from")).alias("first"), (F.col("at") - F.col("from")).alias("n")
     )
     dealt = kept.unionByName(moved).repartition("shard", "rank")
     slots = dealt.select("shard", "rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))

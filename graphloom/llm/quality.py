@@ -8,7 +8,6 @@ documents walks down all of them at once, a level at a time.
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,7 @@ BINS, DEPTH, TREES, RATE, RIDGE, LEAST_HESSIAN = 64, 4, 80, 0.15, 1.0, 2.0
 FOLDS, THRESHOLD = 5, 0.3
 #: Bytes of a text that are looked at together.
 PIECE_BYTES = 1 << 20
-#: Words of a text are counted exactly up to so many different ones; more come in under the residue of their hash.
-DISTINCT_MOST = 1 << 17
+PAIR_MIX = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
 FEATURES = (
     "bytes", "words", "word_length", "long_words", "upper", "digits", "marks", "other_marks", "bangs", "bars", "beyond_ascii",
@@ -56,45 +54,41 @@ def statistics(data: bytes | None) -> list[float]:
     data = data or b""
     size = max(1, len(data))
     counts = np.zeros(256, dtype=np.int64)
-    words_n = length = long = same = capital = shouted = single = stops = urls = pairs_n = 0
-    lines_n = short = 0
-    words: Counter = Counter()
-    pairs, lines, before = set(), set(), b""
+    words_n = length = long = same = capital = shouted = single = stops = urls = lines_n = short = 0
+    words, pairs, lines = ([np.zeros(0, np.int64)] for _ in range(3))
+    before = words[0]
     for piece in _cut(data):
         counts += np.bincount(np.frombuffer(piece, np.uint8), minlength=256)
         parts = piece.split()
         words_n += len(parts)
-        if len(words) < DISTINCT_MOST:
-            words.update(parts)
-        else:
-            words.update(str(hash(w) % DISTINCT_MOST).encode() if w not in words else w for w in parts)
-        lengths = [len(w) for w in parts]
+        lengths = list(map(len, parts))
         length += sum(lengths)
         long += sum(n > 20 for n in lengths)
         single += lengths.count(1)
-        after = parts[1:]
-        same += sum(map(bytes.__eq__, parts, after)) + (bool(parts) and parts[0] == before)
-        pairs_n += len(after)
-        if len(pairs) < DISTINCT_MOST:
-            pairs.update(map(hash, zip(parts, after)))
+        here = np.fromiter(map(hash, parts), np.int64, len(parts))
+        words.append(here)
+        here = np.concatenate([before, here])
+        same += int((here[1:] == here[:-1]).sum())
+        pairs.append(here[:-1] * PAIR_MIX + here[1:])
+        before = here[-1:]
         capital += sum(map(bytes.istitle, parts))
         shouted += sum(map(bytes.isupper, parts))
         stops += sum(w[-1] in b".!?" for w in parts)
         urls += piece.count(b"http") + piece.count(b"www.")
-        for line in piece.split(b"\n"):
-            if line.strip():
-                lines_n += 1
-                short += len(line) < 30
-                if len(lines) < DISTINCT_MOST:
-                    lines.add(hash(line))
-        before = parts[-1] if parts else before
-    n, top = max(1, words_n), [c for _, c in words.most_common(3)] + [0, 0, 0]
+        own = [x for x in piece.split(b"\n") if x.strip()]
+        lines_n += len(own)
+        short += sum(len(x) < 30 for x in own)
+        lines.append(np.fromiter(map(hash, own), np.int64, len(own)))
+    distinct, times = np.unique(np.concatenate(words), return_counts=True)
+    all_pairs = np.concatenate(pairs)
+    pairs_n, distinct_pairs, distinct_lines = len(all_pairs), len(np.unique(all_pairs)), len(np.unique(np.concatenate(lines)))
+    n, top = max(1, words_n), [*np.sort(times)[::-1][:3].tolist(), 0, 0, 0]
     by = np.bincount(_CLASS, weights=counts, minlength=7)
     share = counts[counts > 0] / size
     return [
         math.log1p(len(data)), math.log1p(words_n), length / n, long / n, by[1] / max(1, by[1] + by[2]), by[3] / size, by[6] / size, by[0] / size,
-        counts[33] / n, counts[124] / n, by[4] / size, len(words) / n, top[0] / n, sum(top[:3]) / n, same / n, len(lines) / max(1, lines_n),
-        words_n / max(1, lines_n), short / max(1, lines_n), stops / n, capital / n, shouted / n, len(pairs) / max(1, pairs_n), single / n,
+        counts[33] / n, counts[124] / n, by[4] / size, len(distinct) / n, top[0] / n, sum(top[:3]) / n, same / n, distinct_lines / max(1, lines_n),
+        words_n / max(1, lines_n), short / max(1, lines_n), stops / n, capital / n, shouted / n, distinct_pairs / max(1, pairs_n), single / n,
         n / max(1, n - same), float(-(share * np.log2(share)).sum()) if len(data) else 0.0, counts[64] / n, counts[35] / n, urls / n,
     ]
 
