@@ -162,19 +162,21 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _count_pass(docs: DataFrame, tokens: Tokens, window: int) -> np.ndarray:
     """How often each token is in the documents. At most a row a token comes from a task."""
 
+    shared = max(tokens.keys, default=1) - 1
+
     def run(batches):
         counts = np.zeros(tokens.n, dtype=np.int64)
         for batch in batches:
             for _, rows in slices(batch.column("text")):
-                parts = [Words([x for x in rows if len(x or b"") <= PIECE_BYTES])]
-                for words in parts:
-                    for w, places, numbers in tokens.found(words.hashes()):
-                        text = np.searchsorted(words.first, places, side="right")
-                        counts += np.bincount(numbers[places + w <= words.first[text]], minlength=tokens.n)
+                words = Words([x for x in rows if len(x or b"") <= PIECE_BYTES])
+                for w, places, numbers in tokens.found(words.hashes()):
+                    end = words.first[np.searchsorted(words.first, places, side="right")]
+                    counts += np.bincount(numbers[places + w <= end], minlength=tokens.n)
                 for x in (x for x in rows if len(x or b"") > PIECE_BYTES):
-                    for _, words, n in pieces(x, 0):
-                        for w, places, numbers in tokens.found(words.hashes()):
-                            counts += np.bincount(numbers[places + w <= n], minlength=tokens.n)
+                    for base, piece, n in pieces(x, shared):
+                        for w, places, numbers in tokens.found(piece.hashes()):
+                            own = (places + w > shared) | (base == 0)  # else the piece before has counted it
+                            counts += np.bincount(numbers[own & (places + w <= n)], minlength=tokens.n)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["token", "n"])
 

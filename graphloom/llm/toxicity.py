@@ -174,8 +174,7 @@ class LabelModel:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300, step: float = 0.1) -> np.ndarray:
-    """Weights, the bias last, of least cross entropy with soft labels; by Adam, as tokens are in few rows each."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float32)
+    """Weights of least cross entropy with soft labels; by Adam, as tokens are in few rows each. x: float32, the last column ones."""
     w, mean, square = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
@@ -236,18 +235,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, len(rows)), pa.ListArray.from_arrays(cuts, pa.array(code.astype(np.int32))), marks], ["label", "tokens", "patterns"])
 
     got = sample.mapInArrow(run, "label double, tokens array<int>, patterns array<float>").toPandas()
-    x = np.zeros((len(got), 2 * size + PATTERNS), np.float32)
+    x = np.zeros((len(got), 2 * size + PATTERNS + 1), np.float32)
+    x[:, -1] = 1
     for k, (t, m) in enumerate(zip(got["tokens"], got["patterns"])):
         t = np.asarray(t, dtype=np.int64)
         x[k, t // 2] = 1
         x[k, size + t[t % 2 == 1] // 2] = 1
-        x[k, 2 * size :] = m
+        x[k, 2 * size : -1] = m
     voters = [place[int(h)] for h in words] + [place[int(h)] + size * d for h, d, t in zip(mined, by_dense, toxic) if t][:MINED_VOTERS]
     voters = list(dict.fromkeys(voters))
     votes = np.column_stack([x[:, voters], x[:, 2 * size + 1], -(x[:, voters].sum(axis=1) == 0).astype(np.float32)]).astype(np.int8)
     posterior = LabelModel().fit(votes, got["label"].to_numpy())
     weights = logistic(x, posterior)
-    slope, shift = calibrated(x @ weights[:-1] + weights[-1], got["label"].to_numpy())
+    slope, shift = calibrated(x @ weights.astype(np.float32), got["label"].to_numpy())
     weights = weights * slope
     weights[-1] += shift
     return Model(table, weights)
