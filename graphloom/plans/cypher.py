@@ -1,7 +1,8 @@
 """Read-only pattern queries, compiled to DataFrames.
 
 MATCH pattern, ... [WHERE expression] RETURN [DISTINCT] items [ORDER BY ...] [SKIP n] [LIMIT n] [;]
-A pattern is (var:Label {prop: literal})-[var:Type]->(...), with <-[...]- for the other direction. Expressions have =, <>,
+A pattern is (var:Label {prop: literal})-[var:Type]->(...), with <-[...]- for the other direction and [:Type*low..high] for
+paths of so many steps, a row a path, nodes visited again included. Expressions have =, <>,
 <, <=, >, >=, AND, OR, NOT, IN, CONTAINS, STARTS WITH, ENDS WITH, IS [NOT] NULL. Items are var.prop, labels(var), type(rel),
 count(*), count([DISTINCT] x), min, max, sum, avg, collect; what is no aggregate groups. ORDER BY takes names or ordinals. A GROUP BY tail may repeat what is
 implied. Two variables may be bound to the same node; nulls sort first.
@@ -21,6 +22,8 @@ from graphloom.model import KINDS, NODE_TABLES, RELS, Graph
 _TOKEN = re.compile(r"\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<tick>`[^`]+`)|(?P<name>[^\W\d]\w*)|(?P<op><>|<=|>=|->|<-|[-()\[\]{}:,.=<>;*]))")
 _WRITES = {"CREATE", "MERGE", "SET", "DELETE", "REMOVE", "DETACH", "DROP", "COPY", "ALTER", "INSERT", "CALL", "LOAD", "INSTALL"}
 _AGGREGATES = {"count", "min", "max", "sum", "avg", "collect"}
+#: Longest path of a pattern; each step is a join.
+MOST_STEPS = 12
 NODE_PROPERTIES = ("fqn", "path", "start", "end", "start_line", "end_line", "category", "code_type")
 EDGE_PROPERTIES = ("target_type",)
 
@@ -41,6 +44,8 @@ class Hop:
     var: str
     rel: str | None
     forward: bool
+    low: int = 1
+    high: int = 1
 
 
 @dataclass
@@ -195,9 +200,24 @@ class Parser:
         rel = self.name() if self.op(":") else None
         if rel is not None and rel not in RELS:
             raise QueryError(f"no relation {rel}")
+        low = high = 1
+        if self.op("*"):
+            low = high = self.steps()
+            if self.op("."):
+                self.take(".")
+                high = self.steps()
+            if not 1 <= low <= high <= MOST_STEPS:
+                raise QueryError(f"paths have 1 to {MOST_STEPS} steps")
         self.take("]")
         self.take("->" if forward else "-")
-        return Hop(var, rel, forward)
+        return Hop(var, rel, forward, low, high)
+
+    def steps(self) -> int:
+        kind, got = self.now
+        if kind != "num" or "." in got:
+            raise QueryError("a path needs its number of steps")
+        self.at += 1
+        return int(got)
 
     def item(self):
         at = self.at
@@ -296,11 +316,24 @@ class Planner:
         df = self.graph.edges
         if hop.rel:
             df = df.where(F.col("rel") == hop.rel)
+        if hop.high > 1:
+            df = self.paths(df, hop)
         for node, kind in ((source, "src_kind"), (target, "dst_kind")):
             if node.label:
                 df = df.where(F.col(kind) == node.label)
         return df.select(*[F.col(c).alias(f"{hop.var}.{c}") for c in ("src", "dst", "rel", "target_type")])
 
+    def paths(self, edges: DataFrame, hop: Hop) -> DataFrame:
+        """Ends of the paths of low to high steps, as edges. The kinds of both ends are kept, those between are free."""
+        step = edges.select(F.col("src").alias("_mid"), F.col("dst").alias("_to"), F.col("dst_kind").alias("_kind"))
+        walked = edges.select("src", "dst", "src_kind", "dst_kind")
+        out = walked if hop.low == 1 else None
+        for k in range(2, hop.high + 1):
+            walked = walked.join(step, walked["dst"] == step["_mid"]).select("src", F.col("_to").alias("dst"), "src_kind", F.col("_kind").alias("dst_kind"))
+            if k >= hop.low:
+                out = walked if out is None else out.unionByName(walked)
+        return out.select("src", "dst", "src_kind", "dst_kind", F.lit(hop.rel).cast("string").alias("rel"), F.lit(None).cast("string").alias("target_type"))
+
     def match(self) -> DataFrame:
         merged: dict[str, Node] = {}
         for pattern in self.query.patterns:

@@ -381,6 +381,9 @@ add("c_count_group_topk", lambda c: query(c.graph, "MATCH (f:Function)-[:Unresol
 add("c_labels", lambda c: query(c.graph, "MATCH (n) RETURN labels(n), count(*)").select(F.array_join("`labels(n)`", ",").alias("label"), F.col("`count(*)`").alias("n")), "SELECT kind AS label, count(*) AS n FROM n_fin GROUP BY kind")
 add("c_distinct", lambda c: query(c.graph, "MATCH (a:Function)-[:Calls]->(b:Function), (b)-[:Uses]->(s:Struct) RETURN DISTINCT s.code_type AS code, b.code_type AS callee"), "SELECT DISTINCT n2.code_type AS code, n1.code_type AS callee FROM e_fin a JOIN e_fin u ON u.src = a.dst JOIN n_fin n1 ON n1.fqn = a.dst JOIN n_fin n2 ON n2.fqn = u.dst WHERE a.rel = 'Calls' AND u.rel = 'Uses'")
 
+add("c_paths", lambda c: query(c.graph, "MATCH (a:Function)-[:Calls*1..3]->(b:Function) RETURN b.fqn AS callee, count(*) AS n"), """SELECT callee, count(*) AS n FROM (SELECT dst AS callee FROM e_fin WHERE rel = 'Calls' UNION ALL SELECT b.dst FROM e_fin a JOIN e_fin b ON b.src = a.dst WHERE a.rel = 'Calls' AND b.rel = 'Calls'
+       UNION ALL SELECT d.dst FROM e_fin a JOIN e_fin b ON b.src = a.dst JOIN e_fin d ON d.src = b.dst WHERE a.rel = 'Calls' AND b.rel = 'Calls' AND d.rel = 'Calls') x GROUP BY callee""")
+
 # Input and output.
 _NODES = "fqn, kind, coalesce(path, '') AS path, coalesce(s_off, 0)::BIGINT AS s_off, coalesce(e_off, 0)::BIGINT AS e_off, coalesce(category, '') AS category, code_type"
 

@@ -51,10 +51,11 @@ def test_pattern_queries(graph):
     assert rows(query(graph, "MATCH (n:Function) RETURN DISTINCT n.path ORDER BY n.path")) == [("/x/a.go",)]
     assert query(graph, "MATCH (n:Module) RETURN n.fqn LIMIT 1").columns == ["n.fqn"]
     assert rows(query(graph, "MATCH (n:Function) WHERE n.fqn IN ['x'] OR n.fqn ENDS WITH '()' AND n.path IS NOT NULL RETURN n.fqn GROUP BY n.fqn")) == [("m.A.f()",)]
+    assert rows(query(graph, "MATCH (m:Module)-[:Contains*2..3]->(f:Function) RETURN m.fqn, f.fqn, count(*)")) == [("m", "m.A.f()", 2), ("m", "m.A.f(int)", 2)]
     assert query(graph, "MATCH (n)-[:Contains]->(m) RETURN n.fqn ORDER BY m.fqn DESC SKIP 1 LIMIT 2").count() == 2
 
 
-@pytest.mark.parametrize("text", ["CREATE (n:Module)", "MATCH (n) DELETE n", "MATCH (n:Nope) RETURN n", "MATCH (n) RETURN n.nope", "MATCH (n) RETURN m.fqn", "MATCH (n RETURN n", "MATCH (n:Module) RETURN n.path", "MATCH (n), (m) RETURN n.fqn", "MATCH (n) RETURN n.fqn ORDER BY 2", "MATCH (n) RETURN nope(n)", "MATCH (n)-[:Nope]->(m) RETURN n.fqn"])
+@pytest.mark.parametrize("text", ["CREATE (n:Module)", "MATCH (n) DELETE n", "MATCH (n:Nope) RETURN n", "MATCH (n) RETURN n.nope", "MATCH (n) RETURN m.fqn", "MATCH (n RETURN n", "MATCH (n:Module) RETURN n.path", "MATCH (n), (m) RETURN n.fqn", "MATCH (n) RETURN n.fqn ORDER BY 2", "MATCH (n) RETURN nope(n)", "MATCH (n)-[:Calls*]->(m) RETURN n.fqn", "MATCH (n)-[:Calls*2..99]->(m) RETURN n.fqn", "MATCH (n)-[:Nope]->(m) RETURN n.fqn"])
 def test_bad_queries(graph, text):
     with pytest.raises(QueryError):
         query(graph, text).collect()
