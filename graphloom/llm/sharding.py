@@ -37,9 +37,10 @@ def shuffled(records: DataFrame, key: list[str], size: Column, shards: int = SHA
     """records with shard (0 to shards-1) and slot (from 0, without gaps in its shard).
 
     key: columns that tell rows apart and fix the order before the shuffle; rows alike in all of them are
-    interchangeable. Nulls are values like others. size: a row's bytes. Same rows, same result, at any partitioning.
+    interchangeable. Nulls are values like others. size: a row's bytes. Columns named shard or slot give way to the new ones. Same rows, same result, at any partitioning.
     Whole records move once: a bucket's place in the whole comes to it in a cogroup. Names that begin with _sh_ are taken.
     """
+    records = records.drop("shard", "slot")
     total = records.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     n = total["n"]
     buckets = max(1, -(-n // BUCKET_ROWS), -(-int(total["b"]) // BUCKET_BYTES))
@@ -72,8 +73,8 @@ def write_shards(records: DataFrame, folder: str) -> DataFrame:
 
 def shuffle_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:
     """docs (with doc_id and text, and whatever else) with shard and slot; null texts count as empty in a record's bytes."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return shuffled(keyed, ["doc_id", "_text_hash"], record_bytes(F.col("text")), shards, seed).drop("_text_hash")
+    keyed = docs.withColumn("_sh_text", F.xxhash64("text"))
+    return shuffled(keyed, ["doc_id", "_sh_text"], record_bytes(F.col("text")), shards, seed).drop("_sh_text")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 11) -> DataFrame:

@@ -253,22 +253,32 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(table, weights)
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns in `keep` (doc_id, unless said) with held_out, score, predicted; a row for each of docs' rows.
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted; a row for each of docs' rows. Other columns are left aside.
 
     Null and empty texts get the score of a text without any token. A null id is in the fold of the empty id. Labels of
     unknown documents, null labels and null ids are left out; a document labelled twice counts as toxic if one label says so.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    keep = keep or ["doc_id"]
-    schema = docs.select(*keep).schema.add("score", "double")
-    inner = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
-                kept = [batch.column(k).slice(first, len(rows)) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(model.value.score(rows))], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), pa.array(model.value.score(rows))], ["doc_id", "score"])
 
-    out = inner.mapInArrow(run, schema)
-    return out.select(*[F.col(c) for c in keep], (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return out.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs' rows, all columns, that score below the threshold; as scored() has it for odd rows."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for first, rows in slices(batch.column(at)):
+                yield batch.slice(first, len(rows)).filter(pa.array(model.value.score(rows) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -281,3 +281,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["sharding"] == seen["mixing"] and {"shard", "slot"} <= set(current.columns)
     run = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert run.count() > 0 and run.select("shard", "slot").distinct().count() == run.count()
+
+
+def test_stages_take_clashing_columns_odd_rows_and_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    clash = ["score", "predicted", "held_out", "shard", "slot", "component", "label", "size", "first", "h", "spans", "n_words", "uses", "token", "cell"]
+    rows = [(k, f"some clean text number {k} with words", "en", ["a", "b", None][k % 3], 9) for k in range(40)] + [(None, None, None, None, None), (50, "", "en", "a", 0), (51, None, "en", "b", None), (52, "long " * 300_000, "en", "a", 1), (3, "some clean text number 3 with words", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in clash:
+        docs = docs.withColumn(c, F.lit("clash"))
+    current, empty = docs, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        current = stage(spark, current, sf)
+        assert stage(spark, empty, sf).count() == 0
+        assert current.count() > 30 and set(docs.columns) <= set(current.columns)
+        if name != "sharding":
+            assert current.columns == docs.columns
+            current = spark.createDataFrame(current.collect(), docs.schema)
