@@ -214,35 +214,40 @@ def differing_bits(similarity: float) -> int:
     return int(bits * share + np.sqrt(bits * share * (1 - share)))
 
 
-def signature(data: bytes | None, width: int = SIMILAR_WIDTH) -> tuple[list[int], list[int]]:
-    """The long fingerprint, and the ANCHORS smallest hashes of different shingles. No word: zeros and one anchor, 0."""
-    ones, n, anchors = np.zeros((LONG_WORDS, BITS), dtype=np.int64), 0, np.zeros(0, dtype=np.uint64)
-    for hashes in shingle_hashes(data or b"", width):
-        n += len(hashes)
-        anchors = np.unique(np.concatenate([anchors, np.unique(hashes)[:ANCHORS]]))[:ANCHORS]
-        padded = np.zeros((LONG_WORDS, -(-len(hashes) // 255) * 255), dtype=np.uint64)
-        for k in range(LONG_WORDS):
-            padded[k, : len(hashes)] = scramble(hashes + np.uint64(k))
-        for bit in range(8):
-            counts = ((padded >> np.uint64(bit)) & LOW_BITS).reshape(LONG_WORDS, -1, 255).sum(axis=2, dtype=np.uint64)
-            ones[:, bit::8] += counts.view(np.uint8).reshape(LONG_WORDS, -1, 8).sum(axis=1, dtype=np.int64)
+def shingle_set(data: bytes | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """The hashes of a text's different shingles, in order. No word: none."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(data or b"", width)]))
+
+
+def signature(shingles: np.ndarray) -> tuple[list[int], list[int]]:
+    """The long fingerprint of a set, and its ANCHORS smallest hashes. The empty set: zeros and one anchor, 0."""
+    n = len(shingles)
     if not n:
         return [0] * LONG_WORDS, [0]
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist(), anchors.view(np.int64).tolist()
+    ones = np.zeros((LONG_WORDS, BITS), dtype=np.int64)
+    padded = np.zeros((LONG_WORDS, -(-n // 255) * 255), dtype=np.uint64)
+    for k in range(LONG_WORDS):
+        padded[k, :n] = scramble(shingles + np.uint64(k))
+    for bit in range(8):
+        counts = ((padded >> np.uint64(bit)) & LOW_BITS).reshape(LONG_WORDS, -1, 255).sum(axis=2, dtype=np.uint64)
+        ones[:, bit::8] += counts.view(np.uint8).reshape(LONG_WORDS, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist(), shingles[:ANCHORS].view(np.int64).tolist()
 
 
 def signatures(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """doc_id, s0 to s7, anchors, a row for each of docs' rows."""
+    """doc_id, node (a hash of the shingle set, equal for equal sets), s0 to s7, anchors, a row for each of docs' rows."""
 
     def run(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
-                got = [signature(x, width) for x in rows]
+                sets = [shingle_set(x, width) for x in rows]
+                got = [signature(x) for x in sets]
+                same = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
                 words = [pa.array([s[k] for s, _ in got], pa.int64()) for k in range(LONG_WORDS)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), *words, pa.array([a for _, a in got], pa.list_(pa.int64()))], ["doc_id", *SIGNATURE, "anchors"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), pa.array(same), *words, pa.array([a for _, a in got], pa.list_(pa.int64()))], ["doc_id", "node", *SIGNATURE, "anchors"])
 
     words = ", ".join(f"{s} long" for s in SIGNATURE)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {words}, anchors array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, {words}, anchors array<long>")
 
 
 def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -250,14 +255,17 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
 
     Texts are similar if their shingle sets have this Jaccard similarity, as long fingerprints tell it. Two of similarity
     0.8 share one of their ANCHORS smallest shingles in all but 0.2 % of cases, so these are the cells; within them the
-    fingerprints decide. Equal fingerprints count once. Null and empty texts are one group; a row with a null doc_id links
-    nothing, and its component is its fingerprint's, or null. Other columns are left aside.
+    fingerprints decide. Equal sets count once. Null and empty texts are one group; a row with a null doc_id links
+    nothing, and its component is its set's, or null. Other columns are left aside.
     """
     marked = store(signatures(docs, width))
-    nodes = store(marked.groupBy(*SIGNATURE).agg(F.min("doc_id").cast("long").alias("node"), F.min("anchors").alias("anchors"), F.count("*").alias("n")))
-    points = nodes.where("node IS NOT NULL").select("node", *SIGNATURE, F.explode("anchors").alias("cell"))
-    joined = components(links_within(cell_groups(points, ["node", *SIGNATURE]), SIGNATURE, differing_bits(similarity)))
-    classes = nodes.join(joined, "node", "left").where("n > 1 OR component IS NOT NULL").select(*SIGNATURE, F.coalesce("component", "node").alias("component"))
-    classes = store(classes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = marked.select("doc_id", *SIGNATURE).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    return salted.join(classes.hint("merge"), [*SIGNATURE, "salt"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    first = [F.first(c).alias(c) for c in (*SIGNATURE, "anchors")]
+    nodes = store(marked.groupBy("node").agg(F.min("doc_id").cast("long").alias("least"), F.count("*").alias("n"), *first))
+    points = nodes.where("least IS NOT NULL").select("node", *SIGNATURE, F.explode("anchors").alias("cell"))
+    joined = components(links_within(cell_groups(points, ["node", *SIGNATURE]), SIGNATURE, differing_bits(similarity))).withColumnRenamed("component", "class")
+    joined = joined.unionByName(joined.select(F.col("class").alias("node"), "class")).distinct()  # with the smallest node of each
+    classes = store(nodes.join(joined, "node", "left").where("n > 1 OR class IS NOT NULL").select("node", "least", F.coalesce("class", "node").alias("class")))
+    least = classes.groupBy("class").agg(F.min("least").alias("component"))
+    classes = store(classes.join(least, "class").select("node", "component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = marked.select("doc_id", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    return salted.join(classes.hint("merge"), ["node", "salt"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))

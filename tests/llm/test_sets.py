@@ -88,6 +88,15 @@ def test_similar_documents(spark, monkeypatch):
     assert simhash.similar_documents(docs(spark, []).limit(0)).count() == 0
 
 
+def test_a_repeated_line_does_not_make_texts_similar(spark):
+    rows = []
+    for n in (1, 5, 11):
+        line = " ".join(f"line{k}" for k in range(n))
+        rows += [(10 * n + k, " ".join([line] * 80 + words(200, 100 * n + k, 10**6)), "a") for k in range(2)]
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_documents(docs(spark, rows)).collect()}
+    assert got == {d: d for d, _, _ in rows}
+
+
 def test_long_texts_are_cut_without_a_trace(monkeypatch):
     text = (" ".join(words(5000, 3)) + "\n" + "y" * 4000 + " tail").encode()
     whole = simhash.fingerprint(text)
