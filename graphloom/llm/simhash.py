@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, store
+from graphloom.llm.common import bounded_sample, slices, store
 from graphloom.llm.components import components
-from graphloom.llm.wordhash import scramble
 
 SHINGLE_WORDS, SEED, BITS, MOST_DIFFERING = 3, 42, 64, 3
 #: Fingerprints that one group compares are twice this at most.
@@ -199,19 +198,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
     return salted.join(classes.hint("merge"), ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
 
 
-# Similar documents: the same fingerprints, longer, for similarities at which 64 bits differ in too many places for a grid.
+# Similar documents: sets of shingles joined exactly, for similarities at which 64 bits differ in too many places for a grid.
 
 SIMILAR_WIDTH, SIMILARITY = 5, 0.8
-#: Words of 64 bits of a long fingerprint, and shingles of a document that serve as its cells.
-LONG_WORDS, ANCHORS = 8, 4
-SIGNATURE = [f"s{k}" for k in range(LONG_WORDS)]
-
-
-def differing_bits(similarity: float) -> int:
-    """Of a long fingerprint's bits, how many differ at a Jaccard similarity: the angle's share of them, and a standard deviation."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = BITS * LONG_WORDS
-    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+#: Rows whose shingles are counted to tell common ones from rare ones, the least count of a common one, and how many are known at most.
+#: They set the order of the shingles, so the number of candidates; any order finds the same links.
+RANKED_ROWS, COMMON, MOST_COMMON = 20_000, 10, 200_000
+#: Against rounding in bounds: it lets a candidate more pass, never one less.
+SLACK = 1e-9
 
 
 def shingle_set(data: bytes | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
@@ -219,52 +213,133 @@ def shingle_set(data: bytes | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(data or b"", width)]))
 
 
-def signature(shingles: np.ndarray) -> tuple[list[int], list[int]]:
-    """The long fingerprint of a set, and its ANCHORS smallest hashes. The empty set: zeros and one anchor, 0."""
+def common_shingles(docs: DataFrame, width: int = SIMILAR_WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of shingles that are common in a sample, and their counts there."""
+
+    def run(batches):
+        for batch in batches:
+            for _, rows in slices(batch.column("text")):
+                found, n = np.unique(np.concatenate([shingle_set(x, width) for x in rows]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["cell", "n"])
+
+    counted = bounded_sample(docs.select("doc_id", "text"), "doc_id", RANKED_ROWS).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = counted.where(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "cell").limit(MOST_COMMON).toPandas()
+    cells = got["cell"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(cells)
+    return cells[order], got["n"].to_numpy(dtype=np.int64)[order]
+
+
+def prefix(shingles: np.ndarray, cells: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """A set's first shingles, by count and hash: so many that two sets of this similarity share one of theirs."""
     n = len(shingles)
-    if not n:
-        return [0] * LONG_WORDS, [0]
-    ones = np.zeros((LONG_WORDS, BITS), dtype=np.int64)
-    padded = np.zeros((LONG_WORDS, -(-n // 255) * 255), dtype=np.uint64)
-    for k in range(LONG_WORDS):
-        padded[k, :n] = scramble(shingles + np.uint64(k))
-    for bit in range(8):
-        counts = ((padded >> np.uint64(bit)) & LOW_BITS).reshape(LONG_WORDS, -1, 255).sum(axis=2, dtype=np.uint64)
-        ones[:, bit::8] += counts.view(np.uint8).reshape(LONG_WORDS, -1, 8).sum(axis=1, dtype=np.int64)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<i8")[:, 0].tolist(), shingles[:ANCHORS].view(np.int64).tolist()
+    most = n - int(np.ceil(similarity * n - SLACK)) + 1 if n else 0
+    rank = np.zeros(n, dtype=np.int64)
+    if len(cells):
+        at = np.minimum(np.searchsorted(cells, shingles), len(cells) - 1)
+        rank = np.where(cells[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))[:most]]
 
 
-def signatures(docs: DataFrame, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """doc_id, node (a hash of the shingle set, equal for equal sets), s0 to s7, anchors, a row for each of docs' rows."""
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash, node (a hash of the shingle set, equal for equal sets), n (its size), prefix, a row for each of docs' rows."""
+    cells, counts = common_shingles(docs, width)
 
     def run(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
                 sets = [shingle_set(x, width) for x in rows]
-                got = [signature(x) for x in sets]
-                same = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-                words = [pa.array([s[k] for s, _ in got], pa.int64()) for k in range(LONG_WORDS)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), pa.array(same), *words, pa.array([a for _, a in got], pa.list_(pa.int64()))], ["doc_id", "node", *SIGNATURE, "anchors"])
+                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+                first_ones = pa.array([prefix(x, cells, counts, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                same = [batch.column(c).slice(first, len(rows)) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(node), pa.array([len(x) for x in sets], pa.int64()), first_ones], ["doc_id", "text_hash", "node", "n", "prefix"])
+
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long, prefix array<long>")
+
+
+def candidates(groups: DataFrame, similarity: float, stars: bool) -> DataFrame:
+    """u, v: pairs of a group whose sizes and places of the shared shingle allow the similarity, once each; u < v.
+
+    stars: only those with the group's first member. Otherwise all whose labels differ.
+    """
 
-    words = ", ".join(f"{s} long" for s in SIGNATURE)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, {words}, anchors array<long>")
+    def run(batches):
+        for batch in batches:
+            us, vs = [], []
+            for members in batch.column("m"):
+                node, n, pos, label = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "pos", "label"))
+                for i in range(1 if stars else len(node) - 1):
+                    small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+                    shared = np.minimum(n[i] - pos[i], n[i + 1 :] - pos[i + 1 :])  # at most, if this is the first one
+                    may = (small + SLACK >= similarity * large) & (shared + SLACK >= similarity / (1 + similarity) * (small + large))
+                    if not stars:
+                        may &= label[i + 1 :] != label[i]
+                    us.append(np.full(may.sum(), node[i]))
+                    vs.append(node[i + 1 :][may])
+            none = np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *us])), pa.array(np.concatenate([none, *vs]))], ["u", "v"])
+
+    return groups.mapInArrow(run, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose shingle sets, made again from the nodes' texts, have the similarity."""
+
+    def make(batches):
+        for batch in batches:
+            for first, rows in slices(batch.column("text")):
+                sets = pa.array([shingle_set(x, width).tobytes() for x in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(rows)), sets], ["node", "shingles"])
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    pairs = store(pairs)
+    needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    needed = nodes.join(needed, "node", "left_semi").select("node", "row.doc_id", "row.text_hash")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(needed, ["doc_id", "text_hash"]).select("node", "text")
+    sets = store(texts.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
+    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    return store(met.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """u, v: verified links of nodes, enough to join all that are joined.
+
+    Two sets of the similarity share a shingle of their prefixes, so all meet in a cell. First each cell's members are held
+    against its first one; then those that this has not joined against one another.
+    """
+    points = nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "cell"))
+    grouped = cell_groups(points, ["node", "size", "pos"]).withColumn("m", F.transform("m", lambda x: x.withField("label", x["node"])))
+    stars = verified(candidates(grouped, similarity, True), nodes, docs, width, similarity)
+    labels = stars.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("known"))
+    apart = grouped.select(F.monotonically_increasing_id().alias("g"), "m")
+    apart = store(apart).select("g", F.explode("m").alias("x")).select("g", "x.node", "x.size", "x.pos").join(labels, "node", "left")
+    apart = apart.groupBy("g").agg(F.collect_list(F.struct("node", "size", "pos", F.coalesce("known", "node").alias("label"))).alias("m"))
+    rest = candidates(apart.select(F.sort_array("m").alias("m")), similarity, False)
+    return stars.unionByName(verified(rest.join(stars, ["u", "v"], "left_anti"), nodes, docs, width, similarity))
 
 
 def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """docs needs doc_id, text. Returns doc_id, component: the smallest doc_id reachable over links of similar texts.
 
-    Texts are similar if their shingle sets have this Jaccard similarity, as long fingerprints tell it. Two of similarity
-    0.8 share one of their ANCHORS smallest shingles in all but 0.2 % of cases, so these are the cells; within them the
-    fingerprints decide. Equal sets count once. Null and empty texts are one group; a row with a null doc_id links
-    nothing, and its component is its set's, or null. Other columns are left aside.
+    Texts are similar if the sets of their shingles (as 64-bit hashes) have this Jaccard similarity or more: all such pairs
+    are found, and each link is counted out on the sets. Equal sets count once. Null and empty texts are one group; a row
+    with a null doc_id links nothing, and its component is its set's, or null. Other columns are left aside.
     """
-    marked = store(signatures(docs, width))
-    first = [F.first(c).alias(c) for c in (*SIGNATURE, "anchors")]
-    nodes = store(marked.groupBy("node").agg(F.min("doc_id").cast("long").alias("least"), F.count("*").alias("n"), *first))
-    points = nodes.where("least IS NOT NULL").select("node", *SIGNATURE, F.explode("anchors").alias("cell"))
-    joined = components(links_within(cell_groups(points, ["node", *SIGNATURE]), SIGNATURE, differing_bits(similarity))).withColumnRenamed("component", "class")
+    marked = store(prefixes(docs, width, similarity))
+    row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("row")
+    nodes = store(marked.groupBy("node").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    joined = components(similar_links(nodes, docs, width, similarity)).withColumnRenamed("component", "class")
     joined = joined.unionByName(joined.select(F.col("class").alias("node"), "class")).distinct()  # with the smallest node of each
-    classes = store(nodes.join(joined, "node", "left").where("n > 1 OR class IS NOT NULL").select("node", "least", F.coalesce("class", "node").alias("class")))
+    classes = nodes.join(joined, "node", "left").where("copies > 1 OR class IS NOT NULL")
+    classes = store(classes.select("node", F.col("row.doc_id").cast("long").alias("least"), F.coalesce("class", "node").alias("class")))
     least = classes.groupBy("class").agg(F.min("least").alias("component"))
     classes = store(classes.join(least, "class").select("node", "component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = marked.select("doc_id", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))

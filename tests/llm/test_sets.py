@@ -97,6 +97,40 @@ def test_a_repeated_line_does_not_make_texts_similar(spark):
     assert got == {d: d for d, _, _ in rows}
 
 
+def brute_similar(rows):
+    sets = {}
+    for d, text, _ in rows:
+        w = text.lower().split()
+        sets[d] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids, group = sorted(sets), {d: d for d in sets}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(sets[a] & sets[b]) * 10 >= 8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    return group
+
+
+@pytest.mark.parametrize("common", [10, 2])
+def test_links_are_those_of_similarity_0_8_exactly(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    rows = []
+    for n in range(5, 13):  # one word more: 4 of 5 shingles for 8 and 9 words
+        text = [f"t{n}_{k}" for k in range(n)]
+        rows += [(100 * n, " ".join(text), "a"), (100 * n + 1, " ".join([*text, "more"]), "a")]
+    for k in range(30):  # 204 words: the last 14 to 43 differ
+        text = words(204, 7000 + k, 10**6)
+        rows += [(10_000 + 2 * k, " ".join(text), "a"), (10_001 + 2 * k, " ".join(text[: 190 - k] + words(14 + k, 8000 + k, 10**6)), "a")]
+    base = words(100, 9, 10**6)
+    for k in range(60):  # copies of one text that are similar to it and not all to one another
+        rows.append((20_000 + k, " ".join(base[: 3 * k % 90] + [f"own{k}"] + base[3 * k % 90 + 1 :][: 99 - k]), "b"))
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_documents(docs(spark, rows)).collect()}
+    want = brute_similar(rows)
+    assert got == want
+    assert want[801] == 800 and want[701] == 701 and 0 < sum(want[10_001 + 2 * k] == 10_000 + 2 * k for k in range(30)) < 30
+
+
 def test_long_texts_are_cut_without_a_trace(monkeypatch):
     text = (" ".join(words(5000, 3)) + "\n" + "y" * 4000 + " tail").encode()
     whole = simhash.fingerprint(text)
