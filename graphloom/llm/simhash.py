@@ -204,6 +204,8 @@ SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 #: Rows whose shingles are counted to tell common ones from rare ones, the least count of a common one, and how many are known at most.
 #: They set the order of the shingles, so the number of candidates; any order finds the same links.
 RANKED_ROWS, COMMON, MOST_COMMON = 20_000, 10, 200_000
+#: Members of a group that all others are held against before those left apart are held against one another.
+LEADERS = 8
 #: Against rounding in bounds: it lets a candidate more pass, never one less.
 SLACK = 1e-9
 
@@ -260,7 +262,7 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 def candidates(groups: DataFrame, similarity: float, stars: bool) -> DataFrame:
     """u, v: pairs of a group whose sizes and places of the shared shingle allow the similarity, once each; u < v.
 
-    stars: only those with the group's first member. Otherwise all whose labels differ.
+    stars: only those with the group's LEADERS first members. Otherwise all whose labels differ.
     """
 
     def run(batches):
@@ -268,7 +270,7 @@ def candidates(groups: DataFrame, similarity: float, stars: bool) -> DataFrame:
             us, vs = [], []
             for members in batch.column("m"):
                 node, n, pos, label = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "pos", "label"))
-                for i in range(1 if stars else len(node) - 1):
+                for i in range(min(LEADERS, len(node) - 1) if stars else len(node) - 1):
                     small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
                     shared = np.minimum(n[i] - pos[i], n[i + 1 :] - pos[i + 1 :])  # at most, if this is the first one
                     may = (small + SLACK >= similarity * large) & (shared + SLACK >= similarity / (1 + similarity) * (small + large))
@@ -310,20 +312,20 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """u, v: verified links of nodes, enough to join all that are joined.
+    """u, v: links of nodes, enough to join all that verified ones join.
 
     Two sets of the similarity share a shingle of their prefixes, so all meet in a cell. First each cell's members are held
-    against its first one; then those that this has not joined against one another.
+    against its first ones; then those that this has not joined against one another.
     """
     points = nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "cell"))
     grouped = cell_groups(points, ["node", "size", "pos"]).withColumn("m", F.transform("m", lambda x: x.withField("label", x["node"])))
     stars = verified(candidates(grouped, similarity, True), nodes, docs, width, similarity)
-    labels = stars.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("known"))
+    labels = components(stars).withColumnRenamed("component", "known")
     apart = grouped.select(F.monotonically_increasing_id().alias("g"), "m")
     apart = store(apart).select("g", F.explode("m").alias("x")).select("g", "x.node", "x.size", "x.pos").join(labels, "node", "left")
     apart = apart.groupBy("g").agg(F.collect_list(F.struct("node", "size", "pos", F.coalesce("known", "node").alias("label"))).alias("m"))
     rest = candidates(apart.select(F.sort_array("m").alias("m")), similarity, False)
-    return stars.unionByName(verified(rest.join(stars, ["u", "v"], "left_anti"), nodes, docs, width, similarity))
+    return labels.select(F.col("node").alias("u"), F.col("known").alias("v")).unionByName(verified(rest, nodes, docs, width, similarity))
 
 
 def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
