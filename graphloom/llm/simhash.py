@@ -329,7 +329,9 @@ def similar_links(nodes: DataFrame, docs: DataFrame, width: int, similarity: flo
 
 
 def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """docs needs doc_id, text. Returns doc_id, component: the smallest doc_id reachable over links of similar texts.
+    """docs needs doc_id, text. Returns doc_id, component (the smallest doc_id reachable over links of similar texts), text_hash, class.
+
+    class is equal for all rows of a group, and only for them, even where texts of two groups repeat a doc_id.
 
     Texts are similar if the sets of their shingles (as 64-bit hashes) have this Jaccard similarity or more: all such pairs
     are found, and each link is counted out on the sets. Equal sets count once. Null and empty texts are one group; a row
@@ -343,6 +345,7 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     classes = nodes.join(joined, "node", "left").where("copies > 1 OR class IS NOT NULL")
     classes = store(classes.select("node", F.col("row.doc_id").cast("long").alias("least"), F.coalesce("class", "node").alias("class")))
     least = classes.groupBy("class").agg(F.min("least").alias("component"))
-    classes = store(classes.join(least, "class").select("node", "component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = marked.select("doc_id", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    return salted.join(classes.hint("merge"), ["node", "salt"], "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    classes = store(classes.join(least, "class").select("node", "class", "component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = marked.select("doc_id", "text_hash", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    found = salted.join(classes.hint("merge"), ["node", "salt"], "left")
+    return found.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text_hash", F.coalesce("class", "node").alias("class"))

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphloom.llm import decontaminate, mixing, sharding, simhash
 from graphloom.llm.components import components
 from graphloom.llm.wordhash import PIECE_BYTES, Words, pieces
@@ -322,3 +323,10 @@ def test_shards_are_even_gapless_and_whole(spark):
 def test_fewer_rows_than_shards(spark):
     got = sharding.shard_documents(docs(spark, [(1, "a", "s"), (2, "b", "s")])).collect()
     assert sorted(r["slot"] for r in got) == [0, 0] and len({r["shard"] for r in got}) == 2
+
+
+def test_texts_that_share_a_doc_id_are_told_apart(spark):
+    texts = [" ".join(words(60, 60 + k, 10**6)) for k in range(4)]
+    rows = [(1, texts[0], "a"), (1, texts[1], "a"), (1, texts[1], "a"), (2, texts[1] + " more", "b"), (3, texts[2], "b"), (4, texts[3], "b"), (2, texts[3].upper(), "c"), (None, texts[2], "c")]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", texts[0]), ("1", texts[1]), ("3", texts[2]), ("2", texts[3].upper()), ("None", texts[2])])
