@@ -310,7 +310,7 @@ def _j18(c):
 add("a1_overload_groups", lambda c: identity.overload_groups(c.records), "SELECT parent, name, count(*) AS n FROM function_rec GROUP BY parent, name HAVING count(*) > 1")
 add(
     "a2_collisions",
-    lambda c: identity.collisions(c.ingest.structs_all.withColumn("fqn", X.parent_of(F.col("fqn"))), c.ingest.functions_claimed.where(F.col("id").endswith("7")).withColumn("fqn", X.parent_of(F.col("fqn"))), c.ingest.structs.limit(0)).select("fqn").distinct(),
+    lambda c: identity.collisions(*[d.withColumn("fqn", X.parent_of(F.col("fqn"))) for d in (c.ingest.structs_all, c.ingest.functions_claimed, c.ingest.structs)]).select("fqn").distinct(),
     r"SELECT DISTINCT fqn FROM (SELECT regexp_replace(fqn, '\.?[^.]*$', '') AS fqn FROM s_all GROUP BY 1 HAVING count(DISTINCT id) > 1 UNION SELECT regexp_replace(fqn, '\.?[^.]*$', '') FROM f_cl WHERE ends_with(id, '7') GROUP BY 1 HAVING count(*) > 1) x",
 )
 add("a3_distinct_edges", lambda c: count_by(c.ingest.allowed_edges, "rel"), "SELECT rel, count(*) AS n FROM allowed GROUP BY rel")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from graphloom.plans.registry import CHAIN
 
 DATA = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parent.parent
@@ -31,6 +32,16 @@ def test_queries_agree_with_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, (tuple(r[k] for k in order) for r in result.fetchall())))
 
 
+def test_collisions_are_those_of_all_declarations(spark):
+    con = duckdb.connect()
+    for path in Path(DATA).iterdir():
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    parent = r"regexp_replace(fqn, '\.?[^.]*$', '')"
+    sql = f"{CHAIN} SELECT {parent} FROM s_all GROUP BY 1 HAVING count(DISTINCT id) > 1 UNION SELECT {parent} FROM f_cl GROUP BY 1 HAVING count(*) > 1 UNION SELECT {parent} FROM s_ok GROUP BY 1 HAVING count(*) > 1"
+    want = sorted(r[0] for r in con.execute(sql).fetchall())
+    assert sorted(r["fqn"] for r in entry.queries()["a2_collisions"](spark, DATA).collect()) == want
+
+
 def test_the_rest_stands_without_the_optional_part():
     code = "import sys, importlib.util as u; f = u.find_spec\nu.find_spec = lambda n, *a: None if n.startswith('graphloom.llm') else f(n, *a)\nimport __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries()); assert not any('llm' in m for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
