@@ -206,6 +206,8 @@ SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 RANKED_ROWS, COMMON, MOST_COMMON = 20_000, 10, 200_000
 #: Members of a group that all others are held against before those left apart are held against one another.
 LEADERS = 8
+#: Bytes of a set's parities.
+PARITY_BYTES = 128
 #: Against rounding in bounds: it lets a candidate more pass, never one less.
 SLACK = 1e-9
 
@@ -242,8 +244,14 @@ def prefix(shingles: np.ndarray, cells: np.ndarray, counts: np.ndarray, similari
     return shingles[np.lexsort((shingles, rank))[:most]]
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """For each of 8 * PARITY_BYTES cells of the hashes, whether the set has an odd number in it. Sets differ in as many shingles as these in bits, or more."""
+    counts = np.bincount((shingles % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES)
+    return np.packbits(counts % 2 == 1).tobytes()
+
+
 def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the shingle set, equal for equal sets), n (its size), prefix, a row for each of docs' rows."""
+    """doc_id, text_hash, node (a hash of the shingle set, equal for equal sets), n (its size), prefix, parity, a row for each of docs' rows."""
     cells, counts = common_shingles(docs, width)
 
     def run(batches):
@@ -253,10 +261,10 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
                 first_ones = pa.array([prefix(x, cells, counts, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
                 same = [batch.column(c).slice(first, len(rows)) for c in ("doc_id", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(node), pa.array([len(x) for x in sets], pa.int64()), first_ones], ["doc_id", "text_hash", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(node), pa.array([len(x) for x in sets], pa.int32()), first_ones, pa.array([parities(x) for x in sets], pa.binary())], ["doc_id", "text_hash", "node", "n", "prefix", "parity"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n long, prefix array<long>")
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n int, prefix array<long>, parity binary")
 
 
 def candidates(groups: DataFrame, similarity: float, stars: bool) -> DataFrame:
@@ -285,7 +293,7 @@ def candidates(groups: DataFrame, similarity: float, stars: bool) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of pairs (u, v) whose shingle sets, made again from the nodes' texts, have the similarity."""
+    """Those of pairs (u, v) whose shingle sets have the similarity: sets are made again from the texts, where parities allow it."""
 
     def make(batches):
         for batch in batches:
@@ -293,6 +301,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
                 sets = pa.array([shingle_set(x, width).tobytes() for x in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(rows)), sets], ["node", "shingles"])
 
+    def near(batches):
+        for batch in batches:
+            a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
+            total = a.to_numpy().astype(np.int64) + b.to_numpy()
+            bits = [np.frombuffer(b"".join(z.to_pylist()), dtype=np.uint64).reshape(len(z), -1) for z in (x, y)] if len(a) else [np.zeros((0, 1), dtype=np.uint64)] * 2
+            differing = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            keep = pa.array(differing <= (1 - similarity) / (1 + similarity) * total + SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
+
     def run(batches):
         for batch in batches:
             keep = []
@@ -302,9 +319,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
                 keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], ["u", "v"])
 
-    pairs = store(pairs)
+    sides = [nodes.select(F.col("node").alias(e), F.col("n").alias(a), F.col("parity").alias(p)) for e, a, p in ("uax", "vby")]
+    pairs = store(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b", "x", "y").mapInArrow(near, "u long, v long"))
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    needed = nodes.join(needed, "node", "left_semi").select("node", "row.doc_id", "row.text_hash")
+    needed = store(nodes.join(needed, "node", "left_semi").select("node", "row.doc_id", "row.text_hash"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(needed, ["doc_id", "text_hash"]).select("node", "text")
     sets = store(texts.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
     met = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
@@ -339,7 +357,7 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     """
     marked = store(prefixes(docs, width, similarity))
     row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("row")
-    nodes = store(marked.groupBy("node").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    nodes = store(marked.groupBy("node").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
     joined = components(similar_links(nodes, docs, width, similarity)).withColumnRenamed("component", "class")
     joined = joined.unionByName(joined.select(F.col("class").alias("node"), "class")).distinct()  # with the smallest node of each
     classes = nodes.join(joined, "node", "left").where("copies > 1 OR class IS NOT NULL")

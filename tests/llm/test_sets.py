@@ -132,6 +132,14 @@ def test_links_are_those_of_similarity_0_8_exactly(spark, monkeypatch, common):
     assert want[801] == 800 and want[701] == 701 and 0 < sum(want[10_001 + 2 * k] == 10_000 + 2 * k for k in range(30)) < 30
 
 
+def test_parities_are_a_lower_bound():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 30, 3000):
+        a, b = (np.unique(rng.integers(0, 5000, n).astype(np.uint64)) for _ in range(2))
+        x, y = (np.frombuffer(simhash.parities(z), dtype=np.uint8) for z in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_long_texts_are_cut_without_a_trace(monkeypatch):
     text = (" ".join(words(5000, 3)) + "\n" + "y" * 4000 + " tail").encode()
     whole = simhash.fingerprint(text)
