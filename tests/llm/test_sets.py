@@ -132,6 +132,14 @@ def test_links_are_those_of_similarity_0_8_exactly(spark, monkeypatch, common):
     assert want[801] == 800 and want[701] == 701 and 0 < sum(want[10_001 + 2 * k] == 10_000 + 2 * k for k in range(30)) < 30
 
 
+def test_similar_sets_share_a_cell_whatever_their_smallest_shingles():
+    a, b = (np.unique(np.concatenate([np.arange(first, first + 4), np.arange(100, 136)]).astype(np.uint64)) for first in (0, 10))
+    assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 and not set(a[:4]) & set(b[:4])
+    for common in ([], [120, 121]):
+        x, y = (simhash.prefix(z, np.array(common, dtype=np.uint64), np.arange(10, 10 + len(common))) for z in (a, b))
+        assert set(x) & set(y)
+
+
 def test_parities_are_a_lower_bound():
     rng = np.random.default_rng(2)
     for n in (0, 1, 30, 3000):
