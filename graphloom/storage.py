@@ -7,20 +7,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Removes a query's shuffle files when the query has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(path)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that the driver and every executor see; removed when the driver's JVM ends.
 
-    It lies in spark.checkpoint.dir. Only where that is unset (tests, a single machine) a temporary folder stands in.
+    It lies in spark.checkpoint.dir. Where that is unset, a temporary folder stands in on a single machine (master
+    local[...]); on a cluster, which would write to as many folders as it has machines, this raises ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir() + "/graphloom-checkpoints"
-    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    path = fs.makeQualified(path)
+    fs, path = _path(spark, f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}")
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     return path.toString()
@@ -30,5 +38,19 @@ def store(df: DataFrame) -> DataFrame:
     """df as a table written in the shared folder: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
     folder = shared_folder(spark) + "/t"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    stored = spark.read.schema(df.schema).parquet(folder)
+    stored.stored_in = folder
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that store() returned and that nothing reads any more."""
+    for table in tables:
+        fs, path = _path(table.sparkSession, table.stored_in)
+        fs.delete(path.getParent(), True)
