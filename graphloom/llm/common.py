@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.storage import shared_folder, store  # noqa: F401
+from graphloom.storage import discard, shared_folder, store  # noqa: F401
 
 #: Bytes of text that a Python operator takes out of an Arrow batch at a time.
 SLICE_BYTES = 4 << 20

@@ -5,36 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import store
+from graphloom.llm.common import discard, store
 
-#: A node's links are spread over so many keys in a join, so that no hub lands in one task.
-SALTS = 16
 MOST_ROUNDS = 64
 
 
 def _to_minimum(links: DataFrame, near: str, far: str) -> DataFrame:
-    """links with m, the smallest node among `near` and all its `far`s."""
-    least = links.groupBy(near).agg(F.min(far).alias("m"))
-    least = least.select(near, F.least(near, "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = links.withColumn("salt", F.pmod(F.xxhash64(far), F.lit(SALTS)).cast("int"))
-    return salted.join(least.hint("merge"), [near, "salt"])
+    """links with m, the smallest node among `near` and all its `far`s. A hub's links are many rows that meet one: a join
+    that Spark splits."""
+    least = links.groupBy(near).agg(F.min(far).alias("m")).select(near, F.least(near, "m").alias("m"))
+    return links.join(least, near)
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether each u has one v, which is no u itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 OR (out = 1 AND root = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: u, v (long ids, any direction, repeats allowed). Returns node, component: its smallest reachable node.
 
-    Nodes without a link to another node do not appear. No links: an empty result.
+    The smallest node of a component, and nodes without a link to another node, do not appear. No links: an empty result.
     """
     now = store(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
     for _ in range(MOST_ROUNDS):
+        if _settled(now):
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.stored_in = now.stored_in
+            return out
         both = now.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(now.select(F.col("v").alias("a"), F.col("u").alias("b")))
         large = _to_minimum(both, "a", "b").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
         least = _to_minimum(large, "u", "v")
         small = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = store(small)
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if found == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = found
+        before, now = now, store(small)
+        discard(before)
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -6,8 +6,8 @@ distance 3, at most three coordinates differ. With the coordinates in six groups
 points share a cell (of width one) of one of the 20 grids on three groups each. Cells are joined with themselves, pairs
 beyond Manhattan distance 3 go, and the others are verified on the fingerprints.
 
-Equal fingerprints count once. Of a cell, only a spanning forest of its links is made, never all pairs; a cell above
-CELL_ROWS is cut into parts, and every two parts meet in one bounded group.
+Equal fingerprints count once. Of a cell, all members meet a few leaders first; then those that no link has joined to the
+cell's main component meet the others. So a cell full of near copies costs rows, not pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,17 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_sample, slices, store
+from graphloom.llm.common import bounded_sample, discard, slices, store
 from graphloom.llm.components import components
 
 SHINGLE_WORDS, SEED, BITS, MOST_DIFFERING = 3, 42, 64, 3
-#: Fingerprints that one group compares are twice this at most.
-CELL_ROWS = 512
+#: Members of a cell that all others are held against first.
+LEADERS = 4
 #: Bytes of a text that are parted into words at a time.
 PIECE_BYTES = 1 << 20
 LOW_BITS = np.uint64(0x0101010101010101)
 EVEN = 0x5555555555555555
-SALTS = 16
 
 
 def word_pieces(data: bytes):
@@ -120,65 +119,62 @@ def grid_masks(groups: int = 6, most: int = MOST_DIFFERING) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def spanning_links(fps: np.ndarray, most: int = MOST_DIFFERING) -> list[tuple[int, int]]:
-    """Links (rows of fps) that join what is joined within fps, one fewer than each component has members. fps: one word a row, or several."""
-    fps = fps.reshape(len(fps), -1)
-    links, left = [], np.arange(len(fps))
-    while len(left):
-        frontier, left = [left[0]], left[1:]
-        while frontier and len(left):
-            here = frontier.pop()
-            near = np.bitwise_count(fps[left] ^ fps[here]).sum(axis=1, dtype=np.int64) <= most
-            if near.any():
-                found = left[near]
-                links += [(here, x) for x in found]
-                frontier += found.tolist()
-                left = left[~near]
-    return links
-
-
-def cell_groups(points: DataFrame, value: list[str]) -> DataFrame:
-    """points: cell and the columns `value`, the first of which tells points apart. Returns m, arrays of structs of `value`.
-
-    All points of a cell are one group, if they are CELL_ROWS at most. A larger cell is cut into parts, and each two parts
-    are a group: every two points of a cell meet, and no group has more than about twice CELL_ROWS.
+def grid_groups(rows: int) -> int:
+    """Groups of coordinates for so many points: with more of them a cell holds more coordinates, and the grids, of which there
+    are more then, few points a cell. A segment's count has 1.5 bits."""
+    return next(g for g in range(2 * MOST_DIFFERING, BITS // 2 + 1) if 1.5 * (BITS // 2) * (g - MOST_DIFFERING) / g >= np.log2(max(rows, 1)) or g == 12)
+
+
+def stars(points: DataFrame, value: list[str]) -> DataFrame:
+    """points: cell, node and the columns `value`. Each point with the LEADERS of its cell: those columns, and x, the leader's, as a struct.
+
+    Leaders are the members whose seeded hashes are least, so that cells with the same members have the same ones.
     """
-    sizes = points.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = points.join(sizes, "cell").withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("int"))
-    met = met.withColumn("part", F.pmod(F.xxhash64(value[0], F.lit(5)), F.col("parts")).cast("int"))
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    met = met.withColumn("other", F.explode(others))
-    pairs = met.where((F.col("parts") == 1) | (F.col("part") != F.col("other")))  # a part's own links come up in its groups with others
-    grouped = pairs.groupBy("cell", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).agg(F.sort_array(F.collect_list(F.struct(*value))).alias("m"))
-    return store(grouped.where(F.size("m") > 1).select("m"))
+    leaders = points.groupBy("cell").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", *value)).alias(f"l{k}") for k in range(LEADERS)])
+    met = points.join(leaders, "cell").withColumn("x", F.explode(F.array_distinct(F.array(*[F.col(f"l{k}") for k in range(LEADERS)]))))
+    return met.where(F.col("x.node") != F.col("node")).select("node", *value, "x")
 
 
-def links_within(groups: DataFrame, words: list[str], most: int) -> DataFrame:
-    """u, v: spanning links of each group of cell_groups, of nodes that differ in `most` bits at most over `words`."""
+def apart(points: DataFrame, labels: DataFrame, value: list[str], band: Column | None = None, reach: int = 0) -> DataFrame:
+    """Pairs of a cell's members that `labels` (node, component) has not joined, in the columns of stars().
+
+    Of each cell, members outside its most frequent component meet all others: near copies, which their leaders have
+    joined, are not held against one another again. band: a number of which pairs that matter differ by `reach` at most.
+    """
+    band = F.lit(0) if band is None else band
+    marked = store(points.join(labels, "node", "left").select("cell", "node", *value, F.coalesce("component", "node").alias("label"), band.alias("band")))
+    main = marked.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
+    rest = store(marked.join(main.where("labels > 1").select("cell", "main"), "cell"))
+    discard(marked)
+    few = rest.where("label <> main").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in range(-reach, reach + 1)])))
+    few = few.select("cell", "band", F.struct("node", *value).alias("x"), F.col("label").alias("x_label"))
+    pairs = rest.join(few, ["cell", "band"]).where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x.node"))))
+    out = pairs.select("node", *value, "x")
+    out.stored_in = rest.stored_in
+    return out
 
-    def run(batches):
-        for batch in batches:
-            us, vs = [], []
-            for members in batch.column("m"):
-                values = members.values
-                fps = np.column_stack([values.field(w).to_numpy(zero_copy_only=False).view(np.uint64) for w in words])
-                ids = values.field("node").to_numpy(zero_copy_only=False)
-                for i, j in spanning_links(fps, most):
-                    us.append(ids[i])
-                    vs.append(ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return groups.mapInArrow(run, "u long, v long")
+def crowded(points: DataFrame) -> DataFrame:
+    """Points whose cell has another one, as a stored table."""
+    return store(points.join(points.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi"))
 
 
 def near_links(nodes: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
     """nodes: fp (distinct), node. Links u, v of nodes whose fingerprints differ in `most` bits at most, enough to join all that are joined."""
-    masks = F.array(*[F.struct(F.lit(k).alias("grid"), F.lit(m).alias("mask")) for k, m in enumerate(grid_masks(most=most))])
+    masks = F.array(*[F.struct(F.lit(k).alias("grid"), F.lit(m).alias("mask")) for k, m in enumerate(grid_masks(grid_groups(nodes.count()), most))])
     points = nodes.withColumn("g", F.explode(masks)).select("fp", "node", F.xxhash64("g.grid", popcounts(F.col("fp")).bitwiseAND(F.col("g.mask"))).alias("cell"))
-    grouped = cell_groups(points, ["fp", "node"])
-    two = grouped.where(F.size("m") == 2).select(F.col("m")[0]["fp"].alias("f"), F.col("m")[1]["fp"].alias("g"), F.col("m")[0]["node"].alias("u"), F.col("m")[1]["node"].alias("v"))
-    two = two.where(manhattan(popcounts(F.col("f")), popcounts(F.col("g"))) <= most).where(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= most)
-    return two.select("u", "v").unionByName(links_within(grouped.where(F.size("m") > 2), ["fp"], most))
+    points = crowded(points)
+
+    def near(pairs: DataFrame) -> DataFrame:
+        bound = manhattan(popcounts(F.col("fp")), popcounts(F.col("x.fp"))) <= most
+        exact = F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp"))) <= most
+        return pairs.where(bound).where(exact).select(F.least("node", "x.node").alias("u"), F.greatest("node", "x.node").alias("v")).distinct()
+
+    first = components(near(stars(points, ["fp"])))
+    left = apart(points, first, ["fp"])
+    found = store(near(left))
+    discard(points, left)
+    return first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOST_DIFFERING) -> DataFrame:
@@ -191,11 +187,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
     nodes = store(marked.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count("*").alias("n")))
     joined = components(near_links(nodes.where("node IS NOT NULL").select("fp", "node"), most))
     # Only fingerprints with company need a row here; others are their own component.
-    classes = nodes.join(joined, "node", "left").where("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "node").alias("component"))
-    classes = store(classes).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = marked.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    # Spark takes the table of classes for as small as it was before the salt: no broadcast.
-    return salted.join(classes.hint("merge"), ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
+    classes = store(nodes.join(joined, "node", "left").where("n > 1 OR component IS NOT NULL").select("fp", F.coalesce("component", "node").alias("component")))
+    return marked.join(classes, "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
 
 
 # Similar documents: sets of shingles joined exactly, for similarities at which 64 bits differ in too many places for a grid.
@@ -204,10 +197,8 @@ SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 #: Rows whose shingles are counted to tell common ones from rare ones, the least count of a common one, and how many are known at most.
 #: They set the order of the shingles, so the number of candidates; any order finds the same links.
 RANKED_ROWS, COMMON, MOST_COMMON = 20_000, 10, 200_000
-#: Members of a group that all others are held against before those left apart are held against one another.
-LEADERS = 8
-#: Bytes of a set's parities.
-PARITY_BYTES = 128
+#: 64-bit words of a set's parities.
+PARITY_WORDS = 16
 #: Against rounding in bounds: it lets a candidate more pass, never one less.
 SLACK = 1e-9
 
@@ -244,10 +235,10 @@ def prefix(shingles: np.ndarray, cells: np.ndarray, counts: np.ndarray, similari
     return shingles[np.lexsort((shingles, rank))[:most]]
 
 
-def parities(shingles: np.ndarray) -> bytes:
-    """For each of 8 * PARITY_BYTES cells of the hashes, whether the set has an odd number in it. Sets differ in as many shingles as these in bits, or more."""
-    counts = np.bincount((shingles % np.uint64(8 * PARITY_BYTES)).astype(np.int64), minlength=8 * PARITY_BYTES)
-    return np.packbits(counts % 2 == 1).tobytes()
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY_WORDS cells of the hashes, whether the set has an odd number in it. Sets differ in as many shingles as these in bits, or more."""
+    counts = np.bincount((shingles % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS)
+    return np.packbits(counts % 2 == 1).view(np.int64)
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -261,35 +252,22 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
                 first_ones = pa.array([prefix(x, cells, counts, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
                 same = [batch.column(c).slice(first, len(rows)) for c in ("doc_id", "text_hash")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(node), pa.array([len(x) for x in sets], pa.int32()), first_ones, pa.array([parities(x) for x in sets], pa.binary())], ["doc_id", "text_hash", "node", "n", "prefix", "parity"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(node), pa.array([len(x) for x in sets], pa.int32()), first_ones, pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "n", "prefix", "parity"])
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n int, prefix array<long>, parity binary")
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n int, prefix array<long>, parity array<long>")
 
 
-def candidates(groups: DataFrame, similarity: float, stars: bool) -> DataFrame:
-    """u, v: pairs of a group whose sizes and places of the shared shingle allow the similarity, once each; u < v.
+def allowed(similarity: float) -> Column:
+    """Whether sizes, and places of the shared shingle if it is the first one, let a pair of stars() have the similarity."""
+    size, other = F.col("size"), F.col("x.size")
+    shared, total = F.least(size - F.col("pos"), other - F.col("x.pos")), size + other
+    return (F.least(size, other) + SLACK >= similarity * F.greatest(size, other)) & (shared + SLACK >= similarity / (1 + similarity) * total)
 
-    stars: only those with the group's LEADERS first members. Otherwise all whose labels differ.
-    """
 
-    def run(batches):
-        for batch in batches:
-            us, vs = [], []
-            for members in batch.column("m"):
-                node, n, pos, label = (members.values.field(c).to_numpy(zero_copy_only=False) for c in ("node", "size", "pos", "label"))
-                for i in range(min(LEADERS, len(node) - 1) if stars else len(node) - 1):
-                    small, large = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-                    shared = np.minimum(n[i] - pos[i], n[i + 1 :] - pos[i + 1 :])  # at most, if this is the first one
-                    may = (small + SLACK >= similarity * large) & (shared + SLACK >= similarity / (1 + similarity) * (small + large))
-                    if not stars:
-                        may &= label[i + 1 :] != label[i]
-                    us.append(np.full(may.sum(), node[i]))
-                    vs.append(node[i + 1 :][may])
-            none = np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *us])), pa.array(np.concatenate([none, *vs]))], ["u", "v"])
-
-    return groups.mapInArrow(run, "u long, v long").distinct()
+def candidates(pairs: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs that the bounds allow, once each; u < v."""
+    return pairs.where(allowed(similarity)).select(F.least("node", "x.node").alias("u"), F.greatest("node", "x.node").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -298,52 +276,41 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
     def make(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
-                sets = pa.array([shingle_set(x, width).tobytes() for x in rows], pa.binary())
+                sets = pa.array([shingle_set(x, width).view(np.int64) for x in rows], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(rows)), sets], ["node", "shingles"])
 
-    def near(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
-            total = a.to_numpy().astype(np.int64) + b.to_numpy()
-            bits = [np.frombuffer(b"".join(z.to_pylist()), dtype=np.uint64).reshape(len(z), -1) for z in (x, y)] if len(a) else [np.zeros((0, 1), dtype=np.uint64)] * 2
-            differing = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            keep = pa.array(differing <= (1 - similarity) / (1 + similarity) * total + SLACK)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], ["u", "v"])
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both / max(1, len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("u", "v")], ["u", "v"])
-
     sides = [nodes.select(F.col("node").alias(e), F.col("n").alias(a), F.col("parity").alias(p)) for e, a, p in ("uax", "vby")]
-    pairs = store(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "a", "b", "x", "y").mapInArrow(near, "u long, v long"))
+    differing = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
+    near = pairs.join(sides[0], "u").join(sides[1], "v").where(differing <= (1 - similarity) / (1 + similarity) * (F.col("a") + F.col("b")) + SLACK)
+    pairs = store(near.select("u", "v", "a", "b"))
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     needed = store(nodes.join(needed, "node", "left_semi").select("node", "row.doc_id", "row.text_hash"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(needed, ["doc_id", "text_hash"]).select("node", "text")
-    sets = store(texts.mapInArrow(make, "node long, shingles binary").dropDuplicates(["node"]))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(needed, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("node", "text")
+    sets = store(texts.mapInArrow(make, "node long, shingles array<long>"))
     met = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    return store(met.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"))
+    both = F.size(F.array_intersect("x", "y"))
+    out = store(met.where(both / (F.col("a") + F.col("b") - both) >= similarity).select("u", "v"))
+    discard(pairs, needed, sets)
+    return out
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """u, v: links of nodes, enough to join all that verified ones join.
 
     Two sets of the similarity share a shingle of their prefixes, so all meet in a cell. First each cell's members are held
-    against its first ones; then those that this has not joined against one another.
+    against its leaders; then those that this has not joined against the others. Sizes that the similarity allows are in
+    the same band of sizes or in the next.
     """
-    points = nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "cell"))
-    grouped = cell_groups(points, ["node", "size", "pos"]).withColumn("m", F.transform("m", lambda x: x.withField("label", x["node"])))
-    stars = verified(candidates(grouped, similarity, True), nodes, docs, width, similarity)
-    labels = components(stars).withColumnRenamed("component", "known")
-    apart = grouped.select(F.monotonically_increasing_id().alias("g"), "m")
-    apart = store(apart).select("g", F.explode("m").alias("x")).select("g", "x.node", "x.size", "x.pos").join(labels, "node", "left")
-    apart = apart.groupBy("g").agg(F.collect_list(F.struct("node", "size", "pos", F.coalesce("known", "node").alias("label"))).alias("m"))
-    rest = candidates(apart.select(F.sort_array("m").alias("m")), similarity, False)
-    return labels.select(F.col("node").alias("u"), F.col("known").alias("v")).unionByName(verified(rest, nodes, docs, width, similarity))
+    points = crowded(nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "cell")))
+    first = store(candidates(stars(points, ["size", "pos"]), similarity))
+    links = verified(first, nodes, docs, width, similarity)
+    labels = components(links)
+    band = F.floor(F.log(F.col("size")) / F.lit(-np.log(similarity)) + F.lit(SLACK)).cast("int")
+    pairs = apart(points, labels, ["size", "pos"], band, 1)
+    rest = store(candidates(pairs, similarity).join(first, ["u", "v"], "left_anti"))
+    discard(points, pairs, first, links)
+    joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return joined if rest.isEmpty() else joined.unionByName(verified(rest, nodes, docs, width, similarity))
 
 
 def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -358,12 +325,13 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     marked = store(prefixes(docs, width, similarity))
     row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("row")
     nodes = store(marked.groupBy("node").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
+    rows = store(marked.select("doc_id", "text_hash", "node"))
+    discard(marked)
     joined = components(similar_links(nodes, docs, width, similarity)).withColumnRenamed("component", "class")
     joined = joined.unionByName(joined.select(F.col("class").alias("node"), "class")).distinct()  # with the smallest node of each
     classes = nodes.join(joined, "node", "left").where("copies > 1 OR class IS NOT NULL")
     classes = store(classes.select("node", F.col("row.doc_id").cast("long").alias("least"), F.coalesce("class", "node").alias("class")))
+    discard(nodes)
     least = classes.groupBy("class").agg(F.min("least").alias("component"))
-    classes = store(classes.join(least, "class").select("node", "class", "component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = marked.select("doc_id", "text_hash", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
-    found = salted.join(classes.hint("merge"), ["node", "salt"], "left")
+    found = rows.join(classes.join(least, "class").select("node", "class", "component"), "node", "left")
     return found.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text_hash", F.coalesce("class", "node").alias("class"))

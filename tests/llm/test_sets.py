@@ -70,7 +70,7 @@ def test_fingerprints_and_components_are_the_brute_force_ones(spark):
 
 
 def test_similar_documents(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
     rng = np.random.default_rng(11)
     rows = [(k, " ".join(words(200, 3000 + k)), "a") for k in range(60)]
     for k in range(40):  # copies with a few words changed, and with many
@@ -115,7 +115,7 @@ def brute_similar(rows):
 @pytest.mark.parametrize("common", [10, 2])
 def test_links_are_those_of_similarity_0_8_exactly(spark, monkeypatch, common):
     monkeypatch.setattr(simhash, "COMMON", common)
-    monkeypatch.setattr(simhash, "CELL_ROWS", 16)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
     rows = []
     for n in range(5, 13):  # one word more: 4 of 5 shingles for 8 and 9 words
         text = [f"t{n}_{k}" for k in range(n)]
@@ -144,7 +144,7 @@ def test_parities_are_a_lower_bound():
     rng = np.random.default_rng(2)
     for n in (0, 1, 30, 3000):
         a, b = (np.unique(rng.integers(0, 5000, n).astype(np.uint64)) for _ in range(2))
-        x, y = (np.frombuffer(simhash.parities(z), dtype=np.uint8) for z in (a, b))
+        x, y = (simhash.parities(z).view(np.uint64) for z in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
@@ -156,7 +156,7 @@ def test_long_texts_are_cut_without_a_trace(monkeypatch):
 
 
 def test_dense_cells_keep_their_links(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL_ROWS", 4)
+    monkeypatch.setattr(simhash, "LEADERS", 1)
     fps = [(1 << a) | (1 << b) for a in range(0, 40) for b in range(a)]  # all within 4 bits of one another
     fps += [(0xFFFF << 40) | (1 << a) for a in range(8)]
     fps = [f - (1 << 64) if f >> 63 else f for f in fps]
