@@ -2,11 +2,13 @@
 
 Voters look at whole texts: words of a small lexicon of insults, words and word beginnings mined from labelled rows,
 patterns of shouting, and one that votes for a clean text where no other has anything to say. A generative model of the
-votes estimates, by expectation maximisation, how each votes on toxic and on clean texts, and from what is left between
-voters given the class their correlations, by which groups of voters that repeat one another count less. A linear
-classifier is then trained on the posterior labels, over the presence of words and beginnings and the patterns.
+votes on labelled and unlabelled texts estimates, by expectation maximisation, how each votes on toxic and on clean texts,
+and from what is left between voters given the class their correlations, by which groups of voters that repeat one another
+count less. A linear classifier is then trained on the posterior labels of all these texts, over the presence of words and
+beginnings and the patterns. Labels choose the mined voters, count as votes seen before, and set the threshold's place.
 
-Sample and vocabulary are bounded by SAMPLE_ROWS and VOCABULARY; everything else covers all rows.
+The texts that it is trained on are bounded by SAMPLE_ROWS and UNLABELLED_ROWS, its tokens by VOCABULARY; everything else
+covers all rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_sample, fold, slices, store
+from graphloom.llm.common import bounded_sample, discard, fold, slices, store
 from graphloom.llm.wordhash import PIECE_BYTES, Words, pieces
 
 #: Insults of four languages, lower case.
@@ -27,12 +29,14 @@ LEXICON = (
     "idiota imbécil estúpido estúpida tonto basura escoria asqueroso patético inútil payaso odio feo fracasado"
 ).split()
 PREFIXES = (4, 6)
-SAMPLE_ROWS, VOCABULARY, MINED_VOTERS = 12_000, 1_000, 200
+SAMPLE_ROWS, UNLABELLED_ROWS, VOCABULARY, MINED_VOTERS = 12_000, 8_000, 1_000, 200
+#: Rows of the training matrix that are numbers, not marks, at a time.
+CHUNK = 1_000
 #: A token is dense in a text of which it makes up this share: some insults are made of parts that clean texts have now and then.
 DENSE = 0.01
 #: A mined token is in so many labelled rows at least, with this much log-likelihood ratio.
 LEAST_ROWS, LEAST_RATIO = 3, 15.0
-PATTERNS = 4
+PATTERNS, SHOUTS = 4, (0, 1, 2)
 FOLDS, THRESHOLD = 5, 0.5
 
 
@@ -142,21 +146,27 @@ class LabelModel:
         """gold: what is labelled toxic (1), clean (0) or not at all (nan). Votes on labelled rows enter each voter's
         estimates as counts seen before, `anchor` times, or else a group of voters that fire together takes one class for itself."""
         prior = float(np.clip(np.nanmean(gold), 0.005, 0.5)) if np.isfinite(gold).any() else 0.1
-        kinds = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
-        start = (votes == 1).sum(axis=1) - 0.5 * (votes == -1).sum(axis=1)
-        p = np.clip(1 / (1 + np.exp(-2 * start + 1)), 0.02, 0.98)
+        for_it, against = (votes == 1).astype(np.float32), (votes == -1).astype(np.float32)
+        start = for_it.sum(axis=1) - 0.5 * against.sum(axis=1)
+        p = np.clip(1 / (1 + np.exp(-2 * start + 1)), 0.02, 0.98).astype(np.float64)
         weight = np.ones(votes.shape[1])
-        seen = [[self.anchor * (k.T @ np.nan_to_num(q)) for k in kinds] for q in (1 - gold, gold)]
+
+        def counted(q: np.ndarray) -> np.ndarray:
+            yes, no = (q.astype(np.float32) @ k for k in (for_it, against))
+            return np.stack([no, q.sum() - yes - no, yes]).astype(np.float64)
+
+        seen = [self.anchor * counted(np.nan_to_num(q)) for q in (1 - gold, gold)]
         for step in range(self.rounds):
             self.by_class = []  # how each voter votes on clean, on toxic texts
             for q, before in zip((1 - p, p), seen):
-                counts = np.stack([k.T @ q for k in kinds]) + np.stack(before) + self.smooth * np.array([[0.1], [1.0], [0.1]])
+                counts = counted(q) + before + self.smooth * np.array([[0.1], [1.0], [0.1]])
                 self.by_class.append(counts / counts.sum(axis=0))
             prior = float(np.clip(0.5 * prior + 0.5 * p.mean(), 0.005, 0.5))
             if step % 5 == 4:
                 weight = self.discounts(votes, p)
-            gain = sum(k @ (weight * (np.log(self.by_class[1][v]) - np.log(self.by_class[0][v]))) for v, k in enumerate(kinds))
-            p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain, -30, 30)))
+            no, nothing, yes = weight * (np.log(self.by_class[1]) - np.log(self.by_class[0]))
+            gain = nothing.sum() + against @ (no - nothing).astype(np.float32) + for_it @ (yes - nothing).astype(np.float32)
+            p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + gain.astype(np.float64), -30, 30)))
         self.accuracy = self.by_class[1][2] * prior / np.maximum(1e-12, self.by_class[1][2] * prior + self.by_class[0][2] * (1 - prior))
         return p
 
@@ -164,8 +174,11 @@ class LabelModel:
         """1 / (1 + what a voter shares with the others): squared correlations of the votes, less what the class explains. An
         echo of k voters counts as one; voters with little in common keep their say."""
         means = [self.by_class[c][2] - self.by_class[c][0] for c in (0, 1)]
-        left = votes - ((1 - p)[:, None] * means[0] + p[:, None] * means[1])
-        cover = left.T @ left / len(votes)
+        cover = np.zeros((votes.shape[1], votes.shape[1]))
+        for a in range(0, len(votes), CHUNK):
+            q = p[a : a + CHUNK, None]
+            left = votes[a : a + CHUNK] - ((1 - q) * means[0] + q * means[1])
+            cover += left.T @ left / len(votes)
         spread = np.sqrt(np.maximum(np.diag(cover), 1e-9))
         self.correlation = cover / np.outer(spread, spread)
         shared = np.where(np.abs(self.correlation) > 0.1, np.maximum(self.correlation, 0), 0)
@@ -173,12 +186,19 @@ class LabelModel:
         return 1 / (1 + (shared**2).sum(axis=1))
 
 
+def scores(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[x[a : a + CHUNK].astype(np.float32) @ w.astype(np.float32) for a in range(0, len(x), CHUNK)]])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300, step: float = 0.1) -> np.ndarray:
-    """Weights of least cross entropy with soft labels; by Adam, as tokens are in few rows each. x: float32, the last column ones."""
+    """Weights of least cross entropy with soft labels; by Adam, as tokens are in few rows each. x: marks of 0 and 1, the last column ones."""
     w, mean, square = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-        grad = x.T @ (p - y).astype(np.float32) / len(x) + penalty * np.append(w[:-1], 0)
+        grad = penalty * np.append(w[:-1], 0)
+        for a in range(0, len(x), CHUNK):
+            part = x[a : a + CHUNK].astype(np.float32)
+            p = 1 / (1 + np.exp(-np.clip(part @ w.astype(np.float32), -30, 30)))
+            grad += part.T @ (p - y[a : a + CHUNK]).astype(np.float32) / len(x)
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         w = w - step * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     return w
@@ -210,12 +230,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """A model from labelled rows outside fold 0. `rows` bounds the sample. Without labels of both kinds, only the lexicon votes."""
-    known = labels.select("doc_id", F.col("toxic").cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(fold("doc_id", FOLDS) != 0)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Model:
+    """A model from labelled and other rows outside fold 0; `rows` and `unlabelled` bound the samples. Without labels of both
+    kinds, only the lexicon votes. Rows of the samples go into a matrix of marks, a byte each, in the order of a hash."""
+    outside = fold("doc_id", FOLDS) != 0
+    known = labels.select("doc_id", F.col("toxic").cast("double").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL").where(outside)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = bounded_sample(known, "doc_id", rows)
-    sample = store(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"))  # `rows` bounds what is broadcast
+    texts = docs.select("doc_id", "text")
+    sample = store(texts.join(F.broadcast(chosen), "doc_id").select("text", "label"))  # `rows` bounds what is broadcast
     mined, by_dense, toxic = mined_tokens(sample)
     words = lexicon_hashes()
     table = np.unique(np.concatenate([mined, words]))
@@ -234,20 +257,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
                 marks = pa.array(list(patterns(stats)), pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(first, len(rows)), pa.ListArray.from_arrays(cuts, pa.array(code.astype(np.int32))), marks], ["label", "tokens", "patterns"])
 
-    got = sample.mapInArrow(run, "label double, tokens array<int>, patterns array<float>").toPandas()
-    x = np.zeros((len(got), 2 * size + PATTERNS + 1), np.float32)
-    x[:, -1] = 1
-    for k, (t, m) in enumerate(zip(got["tokens"], got["patterns"])):
-        t = np.asarray(t, dtype=np.int64)
-        x[k, t // 2] = 1
-        x[k, size + t[t % 2 == 1] // 2] = 1
-        x[k, 2 * size : -1] = m
+    # The other texts are as many as `unlabelled` says, in expectation: a hash of the id below a bound that their count sets.
+    others = texts.where("doc_id IS NOT NULL").where(outside)
+    share = min(1.0, unlabelled / max(1, others.count()))
+    others = others.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2**31)) < int(share * 2**31)).select("text", F.lit(None).cast("double").alias("label"))
+    got = sample.unionByName(others).mapInArrow(run, "label double, tokens array<int>, patterns array<float>").orderBy(F.xxhash64("tokens", "label"), "label").toArrow()
+    discard(sample)
+    x, gold = np.zeros((len(got), 2 * size + PATTERNS + 1), np.uint8), np.full(len(got), np.nan)
+    x[:, -1], at = 1, 0
+    for batch in got.to_batches():
+        codes, n = batch.column("tokens"), len(batch)
+        row = np.repeat(np.arange(at, at + n), np.diff(codes.offsets.to_numpy()))
+        code = codes.flatten().to_numpy()
+        x[row, code // 2] = 1
+        x[row[code % 2 == 1], size + code[code % 2 == 1] // 2] = 1
+        x[at : at + n, 2 * size : -1] = batch.column("patterns").flatten().to_numpy().reshape(n, PATTERNS)
+        gold[at : at + n] = batch.column("label").to_numpy(zero_copy_only=False)
+        at += n
+    del got
     voters = [place[int(h)] for h in words] + [place[int(h)] + size * d for h, d, t in zip(mined, by_dense, toxic) if t][:MINED_VOTERS]
-    voters = list(dict.fromkeys(voters))
-    votes = np.column_stack([x[:, voters], x[:, 2 * size + 1], -(x[:, voters].sum(axis=1) == 0).astype(np.float32)]).astype(np.int8)
-    posterior = LabelModel().fit(votes, got["label"].to_numpy())
-    weights = logistic(x, posterior)
-    slope, shift = calibrated(x @ weights.astype(np.float32), got["label"].to_numpy())
+    voters = list(dict.fromkeys(voters)) + [2 * size + k for k in SHOUTS]
+    votes = x[:, voters].astype(np.int8)
+    votes = np.column_stack([votes, -(votes.sum(axis=1) == 0).astype(np.int8)])
+    weights = logistic(x, LabelModel().fit(votes, gold))
+    known = np.isfinite(gold)
+    slope, shift = calibrated(scores(x[known], weights), gold[known])
     weights = weights * slope
     weights[-1] += shift
     return Model(table, weights)
