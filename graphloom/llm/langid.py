@@ -8,16 +8,18 @@ sample of labelled texts, the same number of texts for each language; every wind
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, slices
+from graphloom.llm.common import fold, slices, store
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4, 5), 8
-#: Texts of the training sample, windows of each, and languages, at most.
-SAMPLE_ROWS, SAMPLE_WINDOWS, LANGUAGES = 4_000, 3, 256
+#: Texts of the training sample, of each language at least, and windows of each text.
+SAMPLE_ROWS, LEAST_ROWS, SAMPLE_WINDOWS = 4_000, 32, 3
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: Windows in a step: their patches stay in the processor's cache.
 STEP = 64
@@ -122,33 +124,35 @@ class Network:
         return [self.languages[b] for b in best], np.clip(total[np.arange(len(texts)), best], 0, 1)
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = LANGUAGES) -> Network | None:
-    """From texts with a letter and a language, outside the held-out fold. rows and most bound the sample and the
-    languages (the most frequent ones). None if there is no such text."""
-    known = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL").where(fold("doc_id", FOLDS) != HELD).where(F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most).collect()
-    if not counts:
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, least: int = LEAST_ROWS) -> Network | None:
+    """From texts with a letter and a language, outside the held-out fold. None if there is no such text.
+
+    The sample has the same number of texts of each language, in expectation: `rows` in all, but `least` of each language, of
+    which any number is learned. A seeded hash of id and text chooses texts, and windows in a text.
+    """
+    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL").where(fold("doc_id", FOLDS) != HELD).where(F.col("text").rlike(r"\p{L}"))
+    counts = store(known.groupBy("lang").agg(F.count("*").alias("n")))
+    languages = [r["lang"] for r in counts.select("lang").orderBy("lang").collect()]
+    if not languages:
         return None
-    each = max(1, rows // len(counts))
-    share = F.lit(None)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["n"]))).otherwise(share)
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.where(dice < share).select("doc_id", "lang", "text")
+    each = max(least, rows // len(languages))
+    dice = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shares = counts.select("lang", (F.lit(float(each)) / F.col("n")).alias("share"))
+    sample = known.withColumn("dice", dice).join(F.broadcast(shares), "lang").where("dice < share").select("lang", "text")  # a row a language
 
     def run(batches):
         for batch in batches:
-            out = []
             for first, texts in slices(batch.column("text")):
-                for doc, lang, text in zip(batch.column("doc_id").slice(first, len(texts)).to_pylist(), batch.column("lang").slice(first, len(texts)).to_pylist(), texts):
-                    parts = windows_of(text)
-                    full = parts[:-1] if len(parts) > 1 else parts
-                    for k in np.random.default_rng(abs(doc or 0)).choice(len(full), min(SAMPLE_WINDOWS, len(full)), replace=False):
-                        out.append((lang, full[k].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "window"])
-
-    got = sample.mapInArrow(run, "lang string, window binary").limit(2 * rows * SAMPLE_WINDOWS).orderBy("lang", "window").collect()
+                langs, parts = [], []
+                for lang, text in zip(batch.column("lang").slice(first, len(texts)).to_pylist(), texts):
+                    windows = windows_of(text)
+                    full = windows[:-1] if len(windows) > 1 else windows
+                    for k in np.random.default_rng(zlib.crc32(text)).choice(len(full), min(SAMPLE_WINDOWS, len(full)), replace=False):
+                        langs.append(lang)
+                        parts.append(full[k].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "window"])
+
+    got = sample.mapInArrow(run, "lang string, window binary").orderBy("lang", "window").collect()
     languages = sorted({r["lang"] for r in got})
     if not languages:
         return None
@@ -162,7 +166,7 @@ def identified(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs' columns in `keep` (doc_id, unless said) with held_out, lang_pred, score; a row for each of docs' rows.
 
     A null text, or one without a letter, is `und` with score 0, and so is every text if nothing could be learned. A null
-    id is in the fold of the empty id.
+    id is in the fold of the empty id. Ids of any type may repeat. Texts of any length go through whole.
     """
     network = train(docs)
     keep = keep or ["doc_id"]

@@ -124,16 +124,18 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row of docs comes back once for each pass that takes words of it, cut to the words taken.
 
     A text that a pass takes whole is unchanged; of another, the words taken stand with single spaces. n_chars, where docs
-    have it, is the new text's. Texts without a word are in no pass. Names that begin with _mix_ are taken.
+    have it, is the new text's. Texts without a word are in no pass. A null id or source is a value like others; rows that
+    repeat id, source and text take their own shares of the words. Any partitioning gives the same rows. Names that begin with _mix_ are taken.
     """
-    key = ["_mix_id", "_mix_hash", "_mix_nth"]
-    # Equal rows are numbered on both sides; which of them meets which makes no difference.
-    parts = mixed(docs, **options).where("taken > 0").select(F.xxhash64("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), "first", F.col("pieces").alias("_mix_pieces"))
-    parts = parts.withColumn("_mix_nth", F.row_number().over(W.partitionBy("_mix_id", "_mix_hash").orderBy("first"))).drop("first")
-    kept = docs.withColumn("_mix_id", F.xxhash64("doc_id")).withColumn("_mix_hash", F.xxhash64("text"))
-    kept = kept.withColumn("_mix_nth", F.row_number().over(W.partitionBy("_mix_id", "_mix_hash").orderBy(F.lit(0))))
+    key, nth = ["_mix_id", "_mix_source", "_mix_hash"], W.partitionBy("_mix_id", "_mix_source", "_mix_hash")
+    # Rows alike in id, source and text are numbered on both sides: by their other columns here, by their place in the mix there.
+    parts = mixed(docs, **options).where("taken > 0").select(F.xxhash64("doc_id").alias("_mix_id"), F.xxhash64("src").alias("_mix_source"), F.col("text_hash").alias("_mix_hash"), "first", "nth", F.col("pieces").alias("_mix_pieces"))
+    parts = parts.withColumn("_mix_nth", F.row_number().over(nth.orderBy("first", "nth"))).drop("first", "nth")
+    kept = docs.withColumn("_mix_id", F.xxhash64("doc_id")).withColumn("_mix_source", F.xxhash64("source")).withColumn("_mix_hash", F.xxhash64("text"))
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
+    kept = kept.withColumn("_mix_nth", F.row_number().over(nth.orderBy(others)))
     passes = F.sequence(F.lit(1), F.array_max(F.transform("_mix_pieces", lambda p: p["uses"])).cast("int"))
-    met = kept.join(parts, key).withColumn("_mix_pass", F.explode(passes))
+    met = kept.join(parts, [*key, "_mix_nth"]).withColumn("_mix_pass", F.explode(passes))
     words = F.regexp_extract_all("text", F.lit(SPACE_WORD), F.lit(0))
     met = met.withColumn("_mix_whole", F.forall("_mix_pieces", lambda p: p["uses"] >= F.col("_mix_pass")))
     runs = F.flatten(F.transform(F.filter("_mix_pieces", lambda p: p["uses"] >= F.col("_mix_pass")), lambda p: F.slice(words, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))))

@@ -8,6 +8,7 @@ documents walks down all of them at once, a level at a time.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from graphloom.llm.common import bounded_sample, fold, slices, store
 SAMPLE_ROWS = 20_000
 BINS, DEPTH, TREES, RATE, RIDGE, LEAST_HESSIAN = 64, 4, 80, 0.15, 1.0, 2.0
 FOLDS, THRESHOLD = 5, 0.3
-#: Bytes of a text that are looked at together.
+#: Bytes of a text that are looked at together, and those up to the next end of a word or line.
 PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\t-\r ]")
 PAIR_MIX = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
 FEATURES = (
@@ -34,62 +36,78 @@ _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:], _CLASS[[9, 10, 11, 1
 _CLASS[[ord(c) for c in ".,;:?'\"-()"]] = 6
 
 
-def _cut(data: bytes):
-    """Pieces of about PIECE_BYTES that end with a line or a word."""
+class _Words:
+    """Counts over a text's words, which come in lists."""
+
+    def __init__(self):
+        self.n = self.length = self.long = self.same = self.capital = self.shouted = self.single = self.stops = 0
+        self.hashes, self.pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.before = self.hashes[0]
+
+    def add(self, parts: list[bytes]):
+        lengths = list(map(len, parts))
+        self.n += len(parts)
+        self.length += sum(lengths)
+        self.long += sum(n > 20 for n in lengths)
+        self.single += lengths.count(1)
+        here = np.fromiter(map(hash, parts), np.int64, len(parts))
+        self.hashes.append(here)
+        here = np.concatenate([self.before, here])
+        self.same += int((here[1:] == here[:-1]).sum())
+        self.pairs.append(here[:-1] * PAIR_MIX + here[1:])
+        self.before = here[-1:]
+        self.capital += sum(map(bytes.istitle, parts))
+        self.shouted += sum(map(bytes.isupper, parts))
+        self.stops += sum(w[-1] in b".!?" for w in parts)
+
+
+def _pieces(data: bytes, mark_ends):
+    """data in pieces of PIECE_BYTES or more that end where mark_ends finds an end, the last one where data ends: nothing is cut in two."""
     at = 0
     while at < len(data):
-        end = min(len(data), at + PIECE_BYTES)
-        if end < len(data):
-            for mark in (b"\n", b" "):
-                found = data.rfind(mark, at, end)
-                if found > at:
-                    end = found + 1
-                    break
+        end = at + PIECE_BYTES
+        end = mark_ends(data, end) if end < len(data) else len(data)
         yield data[at:end]
         at = end
 
 
+def _word_end(data: bytes, at: int) -> int:
+    found = _SPACE.search(data, at)
+    return found.end() if found else len(data)
+
+
+def _line_end(data: bytes, at: int) -> int:
+    found = data.find(b"\n", at)
+    return found + 1 if found >= 0 else len(data)
+
+
 def statistics(data: bytes | None) -> list[float]:
-    """FEATURES of one text. Null is empty; an empty text has zeros."""
+    """FEATURES of one text. Null is empty; an empty text has zeros. Texts are taken in pieces of whole words, and of whole
+    lines where lines count, so that their length makes no difference."""
     data = data or b""
     size = max(1, len(data))
     counts = np.zeros(256, dtype=np.int64)
-    words_n = length = long = same = capital = shouted = single = stops = urls = lines_n = short = 0
-    words, pairs, lines = ([np.zeros(0, np.int64)] for _ in range(3))
-    before = words[0]
-    for piece in _cut(data):
+    w, lines, lines_n, short = _Words(), [np.zeros(0, np.int64)], 0, 0
+    for piece in _pieces(data, _word_end):
         counts += np.bincount(np.frombuffer(piece, np.uint8), minlength=256)
-        parts = piece.split()
-        words_n += len(parts)
-        lengths = list(map(len, parts))
-        length += sum(lengths)
-        long += sum(n > 20 for n in lengths)
-        single += lengths.count(1)
-        here = np.fromiter(map(hash, parts), np.int64, len(parts))
-        words.append(here)
-        here = np.concatenate([before, here])
-        same += int((here[1:] == here[:-1]).sum())
-        pairs.append(here[:-1] * PAIR_MIX + here[1:])
-        before = here[-1:]
-        capital += sum(map(bytes.istitle, parts))
-        shouted += sum(map(bytes.isupper, parts))
-        stops += sum(w[-1] in b".!?" for w in parts)
-        urls += piece.count(b"http") + piece.count(b"www.")
+        w.add(piece.split())
+    for piece in _pieces(data, _line_end):
         own = [x for x in piece.split(b"\n") if x.strip()]
         lines_n += len(own)
         short += sum(len(x) < 30 for x in own)
         lines.append(np.fromiter(map(hash, own), np.int64, len(own)))
-    distinct, times = np.unique(np.concatenate(words), return_counts=True)
-    all_pairs = np.concatenate(pairs)
+    urls = data.count(b"http") + data.count(b"www.")
+    distinct, times = np.unique(np.concatenate(w.hashes), return_counts=True)
+    all_pairs = np.concatenate(w.pairs)
     pairs_n, distinct_pairs, distinct_lines = len(all_pairs), len(np.unique(all_pairs)), len(np.unique(np.concatenate(lines)))
-    n, top = max(1, words_n), [*np.sort(times)[::-1][:3].tolist(), 0, 0, 0]
+    n, top = max(1, w.n), [*np.sort(times)[::-1][:3].tolist(), 0, 0, 0]
     by = np.bincount(_CLASS, weights=counts, minlength=7)
     share = counts[counts > 0] / size
     return [
-        math.log1p(len(data)), math.log1p(words_n), length / n, long / n, by[1] / max(1, by[1] + by[2]), by[3] / size, by[6] / size, by[0] / size,
-        counts[33] / n, counts[124] / n, by[4] / size, len(distinct) / n, top[0] / n, sum(top[:3]) / n, same / n, distinct_lines / max(1, lines_n),
-        words_n / max(1, lines_n), short / max(1, lines_n), stops / n, capital / n, shouted / n, distinct_pairs / max(1, pairs_n), single / n,
-        n / max(1, n - same), float(-(share * np.log2(share)).sum()) if len(data) else 0.0, counts[64] / n, counts[35] / n, urls / n,
+        math.log1p(len(data)), math.log1p(w.n), w.length / n, w.long / n, by[1] / max(1, by[1] + by[2]), by[3] / size, by[6] / size, by[0] / size,
+        counts[33] / n, counts[124] / n, by[4] / size, len(distinct) / n, top[0] / n, sum(top[:3]) / n, w.same / n, distinct_lines / max(1, lines_n),
+        w.n / max(1, lines_n), short / max(1, lines_n), w.stops / n, w.capital / n, w.shouted / n, distinct_pairs / max(1, pairs_n), w.single / n,
+        n / max(1, n - w.same), float(-(share * np.log2(share)).sum()) if len(data) else 0.0, counts[64] / n, counts[35] / n, urls / n,
     ]
 
 

@@ -199,6 +199,23 @@ def test_languages_of_odd_rows(spark):
     assert langid.identified(odd_documents(spark).limit(0)).count() == 0
 
 
+def test_statistics_do_not_depend_on_the_length_of_pieces(monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["word", "WORD", "a", "http://x", "Tail.", "y" * 300, "l\nm", " ", "same same"]) for _ in range(800)).encode(), b"z" * 5000, b" \n" * 700, b"\r\nline" * 300]
+    whole = [quality.statistics(x) for x in texts]
+    assert whole[0][0] > 8 and quality.statistics(None) == quality.statistics(b"")
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(quality, "PIECE_BYTES", size)
+        assert [quality.statistics(x) for x in texts] == whole
+
+
+def test_every_language_is_learned(spark):
+    alphabet = [chr(0x4E00 + 7 * k) + chr(0x4E03 + 7 * k) for k in range(300)]
+    rows = [(1000 * k + n, alphabet[k] * 40, f"l{k}") for k in range(300) for n in range(2)]
+    network = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(network.languages) > 256
+
+
 def test_label_model_finds_accuracies_and_discounts_echoes():
     rng = np.random.default_rng(6)
     truth = rng.random(4000) < 0.2

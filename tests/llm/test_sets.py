@@ -244,6 +244,24 @@ def test_mix_of_documents_takes_the_same_words(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_mix_of_documents_keeps_sources_apart(spark):
+    same = " ".join(words(40, 1))
+    rows = [(1, same, "a"), (1, same, "b"), (1, same, "b"), (None, same, "a"), (None, same, None)] + [(10 + k, " ".join(words(30 + k, k)), "abc"[k % 3]) for k in range(60)]
+    frame = docs(spark, rows)
+    want = {}
+    for r in mixing.mix(frame).collect():
+        want[r["doc_id"], r["source"]] = want.get((r["doc_id"], r["source"]), 0) + r["taken"]
+    first = None
+    for parts in (1, 5):
+        out = [(r["doc_id"], r["source"], r["lang"], r["text"]) for r in mixing.mix_documents(frame.repartition(parts, "text")).collect()]
+        got = {}
+        for d, s, _, t in out:
+            got[d, s] = got.get((d, s), 0) + len(t.split())
+        assert got == {k: v for k, v in want.items() if v}
+        assert first is None or sorted(out, key=str) == first
+        first = sorted(out, key=str)
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 256, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(5), 9)).collect()]
