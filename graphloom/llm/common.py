@@ -23,15 +23,15 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 17) -> DataFrame:
-    """About `most` rows at most, chosen by a seeded hash of the key: the same rows at every run.
+    """About `most` rows at most, chosen by a seeded hash of the key, which should be unique: the same rows at every run.
 
-    A count sets the hash threshold, so that no more than these rows leave the scan. 1.5 * `most` is the hard bound.
+    A count sets the hash threshold: rows stay in the tasks that read them, and their number is `most` but for a few
+    hundredths.
     """
     rows = df.count()
     if rows <= most:
         return df
-    threshold = int(most / rows * 2**31)
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**31)) < threshold).limit(most + most // 2)
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**31)) < int(most / rows * 2**31))
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES):

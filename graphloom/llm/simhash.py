@@ -20,8 +20,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_sample, discard, slices, store
+from graphloom.llm.common import discard, slices, store
 from graphloom.llm.components import components
+from graphloom.llm.wordhash import NO_SPACE, Words, pieces, runs
+from graphloom.llm.wordhash import PIECE_BYTES as LONG_BYTES
 
 SHINGLE_WORDS, SEED, BITS, MOST_DIFFERING = 3, 42, 64, 3
 #: Members of a cell that all others are held against first.
@@ -194,34 +196,57 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
 # Similar documents: sets of shingles joined exactly, for similarities at which 64 bits differ in too many places for a grid.
 
 SIMILAR_WIDTH, SIMILARITY = 5, 0.8
-#: Rows whose shingles are counted to tell common ones from rare ones, the least count of a common one, and how many are known at most.
+#: Bytes of text whose shingles are hashed together.
+SET_BYTES = 1 << 20
+#: The least count of a common shingle, how many are known at most, and the share of all shingles that are counted (by their hash).
 #: They set the order of the shingles, so the number of candidates; any order finds the same links.
-RANKED_ROWS, COMMON, MOST_COMMON = 20_000, 10, 200_000
+COMMON, MOST_COMMON, COUNTED = 16, 300_000, 0.3
 #: 64-bit words of a set's parities.
 PARITY_WORDS = 16
 #: Against rounding in bounds: it lets a candidate more pass, never one less.
 SLACK = 1e-9
 
 
-def shingle_set(data: bytes | None, width: int = SIMILAR_WIDTH) -> np.ndarray:
-    """The hashes of a text's different shingles, in order. No word: none."""
-    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(data or b"", width)]))
+def shingle_sets(texts: list[bytes | None], width: int = SIMILAR_WIDTH) -> list[np.ndarray]:
+    """The hashes of each text's different shingles, in order; of the whole sequence where there are fewer words. No word: none."""
+    out: list = [np.zeros(0, dtype=np.uint64)] * len(texts)
+    short = [k for k, x in enumerate(texts) if len(x or b"") <= LONG_BYTES]
+    words = Words([texts[k] for k in short], NO_SPACE)
+    hashes = words.hashes()
+    every = runs(hashes, width)
+    for k, a, b in zip(short, words.first[:-1].tolist(), words.first[1:].tolist()):
+        if b > a:
+            out[k] = np.unique(every[a : b - width + 1]) if b - a >= width else runs(hashes[a:b], b - a)
+    for k in set(range(len(texts))) - set(short):
+        found, first, n = [], hashes[:0], 0
+        for base, piece, whole in pieces(texts[k], width - 1, NO_SPACE):
+            h, n = piece.hashes()[:whole], base + whole
+            first = np.concatenate([first, h[len(first) - base :]])[:width] if len(first) < width else first
+            found.append(np.unique(runs(h, width)))
+        out[k] = np.unique(np.concatenate(found)) if n >= width else runs(first, n) if n else first
+    return out
 
 
 def common_shingles(docs: DataFrame, width: int = SIMILAR_WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, of shingles that are common in a sample, and their counts there."""
+    """Hashes, in order, of shingles that are common in all documents, and in how many texts they are: of those that come
+    first by hash, COUNTED of all, which prefixes are made of."""
+    bound = np.uint64(COUNTED * 2**64)
 
     def run(batches):
         for batch in batches:
-            for _, rows in slices(batch.column("text")):
-                found, n = np.unique(np.concatenate([shingle_set(x, width) for x in rows]), return_counts=True)
+            for _, rows in slices(batch.column("text"), SET_BYTES):
+                found, n = np.unique(np.concatenate([x[: np.searchsorted(x, bound)] for x in shingle_sets(rows, width)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["cell", "n"])
 
-    counted = bounded_sample(docs.select("doc_id", "text"), "doc_id", RANKED_ROWS).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = counted.where(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "cell").limit(MOST_COMMON).toPandas()
-    cells = got["cell"].to_numpy(dtype=np.int64).view(np.uint64)
+    counted = store(docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON))
+    # The greatest counts, down to the power of two below which there would be too many.
+    sizes = {r["power"]: r["n"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()}
+    least = min((p for p in sizes if sum(n for q, n in sizes.items() if q >= p) <= MOST_COMMON), default=63)
+    got = counted.where(F.col("n") >= 2**least).toArrow()
+    discard(counted)
+    cells = got["cell"].to_numpy().view(np.uint64)
     order = np.argsort(cells)
-    return cells[order], got["n"].to_numpy(dtype=np.int64)[order]
+    return cells[order], got["n"].to_numpy()[order]
 
 
 def prefix(shingles: np.ndarray, cells: np.ndarray, counts: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -247,8 +272,8 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, rows in slices(batch.column("text")):
-                sets = [shingle_set(x, width) for x in rows]
+            for first, rows in slices(batch.column("text"), SET_BYTES):
+                sets = shingle_sets(rows, width)
                 node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
                 first_ones = pa.array([prefix(x, cells, counts, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
                 same = [batch.column(c).slice(first, len(rows)) for c in ("doc_id", "text_hash")]
@@ -275,8 +300,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
 
     def make(batches):
         for batch in batches:
-            for first, rows in slices(batch.column("text")):
-                sets = pa.array([shingle_set(x, width).view(np.int64) for x in rows], pa.list_(pa.int64()))
+            for first, rows in slices(batch.column("text"), SET_BYTES):
+                sets = pa.array([x.view(np.int64) for x in shingle_sets(rows, width)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, len(rows)), sets], ["node", "shingles"])
 
     sides = [nodes.select(F.col("node").alias(e), F.col("n").alias(a), F.col("parity").alias(p)) for e, a, p in ("uax", "vby")]

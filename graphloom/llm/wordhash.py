@@ -13,6 +13,9 @@ LOWER[65:91] += 32
 #: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of lower-cased text: digits, letters a to z, all beyond ASCII.
 IS_WORD = np.zeros(256, dtype=bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
+#: `[^\x20\x09-\x0D]+`.
+NO_SPACE = np.ones(256, dtype=bool)
+NO_SPACE[9:14] = NO_SPACE[32] = False
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -35,11 +38,11 @@ def scramble(x: np.ndarray) -> np.ndarray:
 class Words:
     """data: lower-cased bytes; start, end: byte bounds of each word; first: index of each text's first word, with the total last."""
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], is_word: np.ndarray = IS_WORD):
         texts = [x or b"" for x in texts]
         self.data = LOWER[np.frombuffer(b"".join(texts), dtype=np.uint8)]
         bounds = np.cumsum([0, *map(len, texts)])
-        inside = IS_WORD[self.data]
+        inside = is_word[self.data]
         n = len(inside)
         starts, ends = inside.copy(), inside.copy()
         starts[1:] &= ~inside[:-1]
@@ -71,11 +74,11 @@ class Words:
 PIECE_BYTES = 2 << 20
 
 
-def pieces(data: bytes, overlap: int = 0):
+def pieces(data: bytes, overlap: int = 0, is_word: np.ndarray = IS_WORD):
     """(number of its first word in the text, its words, how many of them are whole) for pieces of a long text; neighbours share `overlap` words."""
     at, base, size = 0, 0, PIECE_BYTES
     while True:
-        words = Words([data[at : at + size]])
+        words = Words([data[at : at + size]], is_word)
         n = len(words.start)
         if at + size >= len(data):
             yield base, words, n
