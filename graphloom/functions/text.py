@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,37 +17,16 @@ def like_pattern(glob: str) -> str:
     return escaped.replace("*", "%").replace("?", "_")
 
 
-def glob_matches(glob: str, text: str) -> bool:
-    """One text against one glob, where the text may hold a literal star.
-
-    A literal match is tried before a wildcard: against a star in the text, a star of the glob stands for itself alone.
-    Outside of that, the last star takes as little as possible, and more whenever what follows it fails.
-    """
-    g = t = 0
-    resume = None  # where the glob goes on after its last star, and the text place that star reaches to
-    while t < len(text):
-        here = glob[g : g + 1]
-        if here and here in ("?", text[t]):
-            g, t = g + 1, t + 1
-        elif here == "*":
-            resume = (g + 1, t)
-            g = len(glob) - len(glob[g:].lstrip("*"))
-        elif resume:
-            resume = (resume[0], resume[1] + 1)
-            g, t = resume
-        else:
-            return False
-    return not glob[g:].strip("*")
+def star_pattern(glob: str) -> str:
+    """A regular expression for the texts that hold a literal star: a star of the glob that meets one is that star and nothing
+    else; one that meets any other character, or the end, is any run."""
+    parts = {"*": r"(?:\*|(?!\*).*?)", "?": "."}
+    return r"(?s)\A" + "".join(parts.get(c) or (c if c.isalnum() else f"\\x{{{ord(c):x}}}") for c in glob) + r"\z"
 
 
 def glob(column: Column, pattern: str) -> Column:
     """Whole-text match; `*` is any run, `?` one character. LIKE does it, but for texts that hold a star themselves."""
-
-    @F.pandas_udf("boolean")
-    def slow(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else glob_matches(pattern, t))
-
-    return F.when(F.instr(column, "*") == 0, column.like(like_pattern(pattern))).otherwise(slow(column))
+    return F.when(F.instr(column, "*") == 0, column.like(like_pattern(pattern))).otherwise(column.rlike(star_pattern(pattern)))
 
 
 def path_glob(column: Column, pattern: str) -> Column:
@@ -61,6 +39,16 @@ def prefixed(column: Column, prefixes) -> Column:
     return any_of([column.startswith(p) for p in prefixes])
 
 
+def without_parts(path: Column, excludes) -> Column:
+    """A scanner's excludes: none of these texts is anywhere in the path."""
+    return ~any_of([F.contains(path, F.lit(e)) for e in excludes])
+
+
+def below_any(path: Column, folders) -> Column:
+    """A scanner's restriction to module folders: the path lies below one of them. No folders: no restriction."""
+    return any_of([path.startswith(f.rstrip("/") + "/") for f in folders]) if folders else F.lit(True)
+
+
 def basename(column: Column) -> Column:
     trimmed = F.regexp_replace(column, "/+$", "")
     last = F.element_at(F.split(trimmed, "/"), -1)

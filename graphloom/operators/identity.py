@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import basename, joined_params
@@ -27,13 +26,14 @@ def function_fqns(records: DataFrame, language: str) -> DataFrame:
     after its file, alone or not.
     """
     functions = records.where("type = 'function'")
-    n = F.count("*").over(W.partitionBy("parent", "name"))
+    several = overload_groups(records).select(F.col("parent").alias("_parent"), F.col("name").alias("_name"), "n")
     base = F.concat_ws(".", "parent", "name")
     params = joined_params(F.coalesce("params", F.array().cast("array<string>")))
-    fqn = F.when(n > 1, F.concat(base, F.lit("("), params, F.lit(")"))).otherwise(base)
+    fqn = F.when(F.col("n").isNotNull(), F.concat(base, F.lit("("), params, F.lit(")"))).otherwise(base)
     if language == "go":
         fqn = F.when(F.col("name") == "init", F.concat("parent", F.lit(".init#"), basename(F.coalesce("file", F.lit(""))))).otherwise(fqn)
-    return functions.select("id", fqn.alias("fqn"), *SPAN, "seq")
+    counted = functions.join(several, F.col("parent").eqNullSafe(F.col("_parent")) & F.col("name").eqNullSafe(F.col("_name")), "left")
+    return counted.select("id", fqn.alias("fqn"), *SPAN, "seq")
 
 
 def overload_groups(records: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -104,13 +106,42 @@ e_fin AS (SELECT e.* FROM pruned e LEFT JOIN spans s ON rel = 'Contains' AND e.s
 """
 
 
+def parts_of(chain: str) -> dict[str, tuple[str, str]]:
+    """name -> (columns, body) of each part of a WITH clause, in order."""
+    found, at = {}, chain.index("WITH") + 4
+    while head := re.compile(r"[\s,]*(\w+)(\([^)]*\))?\s+AS\s+\(").match(chain, at):
+        depth, end = 1, head.end()
+        while depth:
+            quoted = re.compile(r"'[^']*'").match(chain, end)
+            depth += {"(": 1, ")": -1}.get(chain[end], 0)
+            end = quoted.end() if quoted else end + 1
+        found[head[1]], at = (head[2] or "", chain[head.end() : end - 1]), end
+    return found
+
+
+def with_needed(sql: str) -> str:
+    """sql after those parts of CHAIN that it needs; a part that is named more than once is kept, not made again each time."""
+    names = lambda text: [w for w in re.findall(r"\w+", text) if w in PARTS]
+    needed, todo = set(), names(sql)
+    while todo:
+        name = todo.pop()
+        if name not in needed:
+            needed.add(name)
+            todo += names(PARTS[name][1])
+    uses = Counter(names(sql)) + Counter(w for n in needed for w in names(PARTS[n][1]))
+    return "WITH " + ",\n".join(f"{n}{columns} AS {'MATERIALIZED ' if uses[n] > 1 else ''}({body})" for n, (columns, body) in PARTS.items() if n in needed) + "\n" + sql
+
+
+PARTS = parts_of(CHAIN)
+
+
 def named(name: str, sql: str | None):
     """Registers a function of a context as a query; sql goes after CHAIN, unless it brings its own WITH."""
 
     def put(f):
         _queries[name] = lambda spark, sf_dir: f(context(spark, sf_dir))
         if sql is not None:
-            _sql[name] = sql if sql.lstrip().upper().startswith("WITH") else CHAIN + sql
+            _sql[name] = sql if sql.lstrip().upper().startswith("WITH") else with_needed(sql)
         return f
 
     return put
@@ -227,8 +258,8 @@ add("f6_excludes", lambda c: c.cleanup.nodes.select("fqn", "kind"), "SELECT fqn,
 add("f7_span", lambda c: c.cleanup.span_violations.select("src", "dst"), "SELECT src, dst FROM spans")
 add("f8_kind_pairs", lambda c: count_by(c.ingest.edges, "rel", "src_kind", "dst_kind"), "SELECT rel, src_kind, dst_kind, count(*) AS n FROM edges GROUP BY ALL")
 add("f9_shadowed_contains", lambda c: count_by(c.ingest.rooted_edges, "rel"), "SELECT CASE type WHEN 'contains' THEN 'Contains' WHEN 'calls' THEN 'Calls' WHEN 'uses' THEN 'Uses' WHEN 'unresolved_call' THEN 'UnresolvedCall' ELSE 'UnresolvedUse' END AS rel, count(*) AS n FROM rooted GROUP BY 1")
-add("f11_substring_excludes", lambda c: c.records.where("type = 'file'").where(~(F.contains(F.col("path"), F.lit("vendor")) | F.contains(F.col("path"), F.lit("_test")))).select("path").distinct(), "SELECT DISTINCT path FROM file_rec WHERE NOT (contains(path, 'vendor') OR contains(path, '_test'))")
-add("f12_module_dir", lambda c: c.records.where("type = 'file'").where(F.col("path").startswith("/repo/asia/")).select("path").distinct(), "SELECT DISTINCT path FROM file_rec WHERE starts_with(path, '/repo/asia/')")
+add("f11_substring_excludes", lambda c: c.records.where("type = 'file'").where(X.without_parts(F.col("path"), ["vendor", "_test"])).select("path").distinct(), "SELECT DISTINCT path FROM file_rec WHERE NOT (contains(path, 'vendor') OR contains(path, '_test'))")
+add("f12_module_dir", lambda c: c.records.where("type = 'file'").where(X.below_any(F.col("path"), ["/repo/asia", "/repo/europe/nation_1"])).select("path").distinct(), "SELECT DISTINCT path FROM file_rec WHERE starts_with(path, '/repo/asia/') OR starts_with(path, '/repo/europe/nation_1/')")
 add("f14_code_type", lambda c: tools.find_symbol(c.graph, "O1", "external").select("fqn", "code_type"), "SELECT fqn, code_type FROM n_fin WHERE contains(fqn, 'O1') AND code_type = 'external'")
 
 # Joins.
@@ -311,7 +342,8 @@ add("a1_overload_groups", lambda c: identity.overload_groups(c.records), "SELECT
 add(
     "a2_collisions",
     lambda c: identity.collisions(*[d.withColumn("fqn", X.parent_of(F.col("fqn"))) for d in (c.ingest.structs_all, c.ingest.functions_claimed, c.ingest.structs)]).select("fqn").distinct(),
-    r"SELECT DISTINCT fqn FROM (SELECT regexp_replace(fqn, '\.?[^.]*$', '') AS fqn FROM s_all GROUP BY 1 HAVING count(DISTINCT id) > 1 UNION SELECT regexp_replace(fqn, '\.?[^.]*$', '') FROM f_cl WHERE ends_with(id, '7') GROUP BY 1 HAVING count(*) > 1) x",
+    r"""SELECT DISTINCT fqn FROM (SELECT regexp_replace(fqn, '\.?[^.]*$', '') AS fqn FROM s_all GROUP BY 1 HAVING count(DISTINCT id) > 1 UNION SELECT regexp_replace(fqn, '\.?[^.]*$', '') FROM f_cl GROUP BY 1 HAVING count(*) > 1
+       UNION SELECT regexp_replace(fqn, '\.?[^.]*$', '') FROM s_ok GROUP BY 1 HAVING count(*) > 1) x""",
 )
 add("a3_distinct_edges", lambda c: count_by(c.ingest.allowed_edges, "rel"), "SELECT rel, count(*) AS n FROM allowed GROUP BY rel")
 add("a4_first_wins", lambda c: identity.first_by(c.records.where("type = 'unresolved'"), "fqn", "category"), "SELECT fqn, category FROM un_first")

@@ -58,7 +58,7 @@ def scan(spark: SparkSession, options: ScanOptions) -> dict[str, int]:
     if command:
         records = command_records(spark, [[*command, *arguments]], log=str(workspace / "scan.log"))
     else:
-        records = BUILT_IN[language](spark, str(Path(options.project).resolve()), options.excludes)
+        records = BUILT_IN[language](spark, str(Path(options.project).resolve()), options.excludes, options.modules)
     config = load_config(workspace.parent, WORKSPACE)
     graph, report = build(records, language, options.blacklist, options.excludes, config)
     publish(graph, workspace)

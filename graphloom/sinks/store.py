@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,32 +16,95 @@ from graphloom.model import ALLOWED, EDGE_SCHEMA, FILE, FUNCTION, MODULE, NODE_S
 LINE_TYPES = {MODULE: "module", STRUCT: "struct", FUNCTION: "function", FILE: "file", UNRESOLVED: "unresolved", "Contains": "contains", "Calls": "calls", "Uses": "uses", "UnresolvedCall": "unresolved_call", "UnresolvedUse": "unresolved_use"}
 
 
+#: Rows of a stored file, about.
+FILE_ROWS = 1_000_000
+#: The file that names a store's current version.
+CURRENT = "_current"
+
+
+def _fs(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def replace_folder(spark: SparkSession, staged: str, folder: str) -> None:
-    """Puts a fully written folder in another's place; readers see the old one or the new one."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(folder)
-    fs = old.getFileSystem(conf)
-    aside = jvm.org.apache.hadoop.fs.Path(f"{folder}.{uuid.uuid4().hex}.old")
+    """Puts a fully written folder in another's place. If that fails, the old one is put back. For a moment there is none."""
+    (fs, new), (_, old) = _fs(spark, staged), _fs(spark, folder)
+    _, aside = _fs(spark, f"{folder}.{uuid.uuid4().hex}.old")
     fs.mkdirs(old.getParent())
-    if fs.exists(old):
-        fs.rename(old, aside)
-    if not fs.rename(new, old):
+    if not fs.exists(new):
+        raise FileNotFoundError(staged)
+    held, put = fs.exists(old) and fs.rename(old, aside), False
+    try:
+        put = not fs.exists(old) and fs.rename(new, old)
+    finally:
+        if held and not put:
+            fs.rename(aside, old)
+    if not put:
         raise OSError(f"cannot put {staged} at {folder}")
     fs.delete(aside, True)
 
 
+def _publish(spark: SparkSession, folder: str, version: str) -> None:
+    """Lets a store's name of its current version change from one to another, in one step."""
+    jvm = spark.sparkContext._jvm
+    fs, staged = _fs(spark, f"{folder}/{CURRENT}.{version}")
+    _, current = _fs(spark, f"{folder}/{CURRENT}")
+    out = fs.create(staged, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(current).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    kind = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = jvm.java.lang.reflect.Array.newInstance(kind, 1)
+    jvm.java.lang.reflect.Array.set(options, 0, kind.getField("OVERWRITE").get(None))
+    context.rename(fs.makeQualified(staged), fs.makeQualified(current), options)
+
+
+def current_version(spark: SparkSession, folder: str) -> str:
+    fs, path = _fs(spark, f"{folder}/{CURRENT}")
+    data = fs.open(path)
+    try:
+        return bytes(data.readAllBytes()).decode()
+    finally:
+        data.close()
+
+
+def _parts(df: DataFrame, *keys: str):
+    """How many files each value of the keys gets, as a column, and in all."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).collect()
+    out, total = F.lit(1), 0
+    for r in counts:
+        n = -(-r["n"] // FILE_ROWS)
+        total += n
+        if n > 1:
+            out = F.when(reduce(and_, [F.col(k) == r[k] for k in keys]), n).otherwise(out)
+    return out, max(1, total)
+
+
 def write_store(graph: Graph, folder: str) -> None:
-    """nodes by kind and edges by relation and kinds, so that a query reads the partitions that it names."""
+    """nodes by kind and edges by relation and kinds, so that a query reads the partitions that it names, in files of FILE_ROWS.
+
+    A store is a folder of versions and a file that names the current one. Readers that have opened a version go on with
+    it: the version before the new one stays, older ones go. A write that fails changes nothing.
+    """
     spark = graph.nodes.sparkSession
-    staged = f"{folder}.{uuid.uuid4().hex}.new"
+    version = uuid.uuid4().hex
     nodes = graph.nodes.withColumns({"path": F.coalesce("path", F.lit("")), "category": F.coalesce("category", F.lit("")), **{n: F.coalesce(n, F.lit(0)) for n in ("start", "end", "start_line", "end_line")}})
-    nodes.repartition("kind", F.pmod(F.xxhash64("fqn"), F.lit(16))).write.option("compression", "snappy").partitionBy("kind").parquet(f"{staged}/nodes")
-    graph.edges.repartition("rel", "src_kind", "dst_kind", F.pmod(F.xxhash64("src"), F.lit(16))).write.option("compression", "snappy").partitionBy("rel", "src_kind", "dst_kind").parquet(f"{staged}/edges")
-    replace_folder(spark, staged, folder)
+    for df, name, keys, spread in ((nodes, "nodes", ["kind"], "fqn"), (graph.edges, "edges", ["rel", "src_kind", "dst_kind"], "src")):
+        parts, total = _parts(df, *keys)
+        dealt = df.repartition(total, *keys, F.pmod(F.xxhash64(spread), parts))
+        dealt.write.option("compression", "snappy").partitionBy(*keys).parquet(f"{folder}/{version}/{name}")
+    fs, path = _fs(spark, folder)
+    before = current_version(spark, folder) if fs.exists(_fs(spark, f"{folder}/{CURRENT}")[1]) else None
+    _publish(spark, folder, version)
+    for status in fs.listStatus(path):
+        if status.isDirectory() and status.getPath().getName() not in (version, before):
+            fs.delete(status.getPath(), True)
 
 
 def read_store(spark: SparkSession, folder: str) -> Graph:
-    return Graph(spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/nodes"), spark.read.schema(EDGE_SCHEMA).parquet(f"{folder}/edges"))
+    version = current_version(spark, folder)
+    return Graph(spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/{version}/nodes"), spark.read.schema(EDGE_SCHEMA).parquet(f"{folder}/{version}/edges"))
 
 
 def node_table(graph: Graph, kind: str) -> DataFrame:
@@ -84,7 +149,10 @@ def json_lines(graph: Graph) -> DataFrame:
 
 
 def write_jsonl(graph: Graph, folder: str) -> None:
-    json_lines(graph).write.mode("overwrite").text(folder)
+    """The lines in a folder that takes an older one's place when it is fully written."""
+    staged = f"{folder}.{uuid.uuid4().hex}.new"
+    json_lines(graph).write.text(staged)
+    replace_folder(graph.nodes.sparkSession, staged, folder)
 
 
 def read_jsonl(spark: SparkSession, folder: str) -> Graph:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import any_of, category_cpp, dotted
+from graphloom.functions.text import any_of, below_any, category_cpp, dotted, without_parts
 from graphloom.model import SEQUENCED_SCHEMA
 from graphloom.operators import resolution
 from graphloom.storage import store
@@ -151,11 +151,16 @@ def body_facts(clean: str, fqn: str, parent: str, params: str, start: int, end:
             put("call", fqn, parent, name, receiver=m[1] or "", target="member" if m[1] else "qualified" if "::" in name else "bare")
 
 
-def facts(spark: SparkSession, root: str, excludes=()) -> DataFrame:
-    """Facts of all sources below root; a file's module is its first folder below root, or root itself."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def facts(spark: SparkSession, root: str, excludes=(), modules=()) -> DataFrame:
+    """Facts of all sources below root; a file's module is its first folder below root, or root itself.
+
+    modules: folders, absolute or below root (`.`: root itself), to which the scan is restricted; a file's module is the
+    innermost of them. A file that can't be read is left out, one that can't be parsed has no declarations.
+    """
+    folders = sorted({str(PurePosixPath(root, m)) for m in modules}, key=len, reverse=True)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
     local = F.regexp_replace("path", "^file:/+", "/")
-    kept = any_of([F.lower(local).endswith(e) for e in ENDS]) & ~any_of([local.contains(e) for e in excludes]) & ~local.rlike(r"/\.[^/]+(/|$)")
+    kept = any_of([F.lower(local).endswith(e) for e in ENDS]) & without_parts(local, excludes) & below_any(local, folders) & ~local.rlike(r"/\.[^/]+(/|$)")
     base = root.rstrip("/")
 
     def run(batches):
@@ -163,15 +168,19 @@ def facts(spark: SparkSession, root: str, excludes=()) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 below = PurePosixPath(path).relative_to(base).parts
-                rows += facts_of(path, below[0] if len(below) > 1 else PurePosixPath(base).name, bytes(content).decode("utf-8", "replace"))
+                module = next((PurePosixPath(f).name for f in folders if path.startswith(f.rstrip("/") + "/")), below[0] if len(below) > 1 else PurePosixPath(base).name)
+                try:
+                    rows += facts_of(path, module, bytes(content).decode("utf-8", "replace"))
+                except (ValueError, IndexError, KeyError, RecursionError):
+                    rows += facts_of(path, module, "")
             yield pd.DataFrame(rows, columns=[c.strip("` ").split(" ")[0].strip("`") for c in FACT_SCHEMA.split(", ")])
 
     return files.select(local.alias("path"), "content").where(kept).mapInPandas(run, FACT_SCHEMA)
 
 
-def records(spark: SparkSession, root: str, excludes=()) -> DataFrame:
+def records(spark: SparkSession, root: str, excludes=(), modules=()) -> DataFrame:
     """SEQUENCED_SCHEMA records of a C or C++ project. The first declaration of a name counts, by path and place."""
-    found = store(facts(spark, root, excludes))
+    found = store(facts(spark, root, excludes, modules))
     order = F.struct("path", "start")
     first = lambda kind, keys: found.where(F.col("fact") == kind).groupBy(*keys).agg(F.min_by(F.struct("path", "name", "parent", "params", "start", "end", "start_line", "end_line", "module"), order).alias("d")).select(*keys, "d.*")
     structs, functions = first("struct", ["fqn"]), first("function", ["fqn"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pathlib import Path
 LANGUAGE_FILES = {
     "java": (".java",),
     "go": (".go",),
-    "cpp": (".cpp", ".cc", ".cxx", ".c", ".hpp", ".hh", ".hxx", ".h"),
+    "cpp": (".cpp", ".cc", ".cxx", ".hpp", ".h", ".hh"),
     "rust": (".rs",),
 }
 SKIPPED = ("target", "node_modules")
@@ -24,7 +25,7 @@ def detect_language(root: str | Path, available: tuple[str, ...] = tuple(LANGUAG
     """The first available language, by precedence, with a file within DEPTH levels; hidden entries and SKIPPED are left out."""
     found: set[str] = set()
     level = [Path(root)]
-    for _ in range(DEPTH + 1):
+    for _ in range(DEPTH):
         below: list[Path] = []
         for folder in level:
             try:
@@ -34,7 +35,7 @@ def detect_language(root: str | Path, available: tuple[str, ...] = tuple(LANGUAG
             for e in entries:
                 if e.name.startswith(".") or e.name in SKIPPED:
                     continue
-                if e.is_dir(follow_symlinks=False):
+                if e.is_dir():  # links to folders too; DEPTH ends circles
                     below.append(Path(e.path))
                 else:
                     found |= {k for k, ends in LANGUAGE_FILES.items() if e.name.endswith(ends)}
@@ -66,14 +67,17 @@ def init(project: str | Path) -> Path:
 
 @dataclass
 class Frontends:
-    """language -> argument list of the scanner, looked up in the environment's folder, then in the given ones."""
+    """language -> argument list of the scanner, looked up in the environment's folder, in the given ones, then beside the program
+    (frontends) or in its installation (../libexec/frontends)."""
 
     folders: list[str] = field(default_factory=list)
     variable: str = "GRAPHLOOM_FRONTENDS"
 
     def command(self, language: str) -> list[str] | None:
         places = [os.environ[self.variable]] if os.environ.get(self.variable) else []
-        for folder in (*places, *self.folders):
+        program = Path(sys.argv[0] or ".").resolve().parent
+        installed = [program / "frontends", program.parent / "libexec" / "frontends"]
+        for folder in (*places, *self.folders, *installed):
             for name in (f"scan-{language}", f"scan-{language}.py"):
                 path = Path(folder) / name
                 if path.is_file():

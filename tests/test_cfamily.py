@@ -4,6 +4,20 @@ from graphloom.sources.project import Frontends
 
 from .helpers import kinds, links
 
+
+
+def test_a_file_that_fails_does_not_end_the_scan(spark, tmp_path, monkeypatch):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.cc").write_text(f"struct {name.title()} {{}};")
+    (tmp_path / "two" / "deep.cc").write_text("struct Deep {};" + "{" * 20 + "}" * 3)
+    (tmp_path / "one" / "bad.cc").write_bytes(b"\xff\xfe struct \x00")
+    found = cfamily.records(spark, str(tmp_path)).where("type = 'struct'").collect()
+    assert {"One", "Two"} <= {r["name"] for r in found}
+    only = cfamily.facts(spark, str(tmp_path), (), ["two"]).collect()
+    assert {r["module"] for r in only} == {"two"} and all("/two/" in r["path"] for r in only)
+
+
 SHAPES = """#include <vector>
 // class Ghost { };
 namespace geo {

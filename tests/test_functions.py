@@ -20,12 +20,13 @@ def test_glob_agrees_with_a_regular_expression_where_no_star_is_in_the_text(spar
         pattern = "".join(rng.choice("ab/*?_%\\") for _ in range(rng.randrange(1, 7)))
         want = [bool(re.fullmatch("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern), t, re.S)) for t in texts]
         assert column(spark, texts, lambda c: X.glob(c, pattern)) == want
-        assert [X.glob_matches(pattern, t) for t in texts] == want
 
 
 def test_glob_takes_a_star_in_the_text_literally_first(spark):
-    assert not X.glob_matches("*", "*b")
-    assert X.glob_matches("*", "*") and X.glob_matches("a*c", "abbc") and not X.glob_matches("a?c", "ac")
+    matches = lambda pattern, texts: column(spark, texts, lambda c: X.glob(c, pattern))
+    assert matches("*", ["*b", "*", "b*", "**", "", "b\n*c"]) == [False, True, True, False, True, True]
+    assert matches("**", ["*b", "**", "***"]) == [True, True, False] and matches("*a*b", ["xa*b", "xa*xb", "xa*yab", "*ab"]) == [True, False, True, True]
+    assert matches("a*c", ["abbc", "a*c", "a*bc", "ab*c"]) == [True, True, False, True] and matches("a?.(c", ["ac", "a*.(c", "a*x(c"]) == [False, True, False]
     assert column(spark, ["*b", "ab", None], lambda c: X.glob(c, "*b")) == [True, True, None]
 
 

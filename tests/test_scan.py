@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.__main__ import main
 from graphloom.operators import resolution
 from graphloom.plans.scan import ScanOptions, open_graph, query_csv, scan
 from graphloom.sinks import store as sink
@@ -47,8 +48,14 @@ def test_language_detection(tmp_path):
     assert detect_language(tmp_path) is None
     deep = tmp_path / "a" / "b" / "c" / "d" / "e"
     deep.mkdir(parents=True)
-    (deep / "x.rs").write_text("")
+    (deep / "x.rs").write_text("")  # in the sixth level
+    (tmp_path / "x.c").write_text("")
+    assert detect_language(tmp_path) is None
+    (deep.parent / "x.rs").write_text("")
     assert detect_language(tmp_path) == "rust"
+    other = tmp_path / "a" / "other"
+    other.symlink_to(tmp_path / "a" / "b" / "c" / "d")
+    assert detect_language(tmp_path / "a" / "other") == "rust"
     (tmp_path / "x.cc").write_text("")
     assert detect_language(tmp_path) == "cpp" and detect_language(tmp_path, ("rust",)) == "rust"
     assert find_workspace(deep) is None
@@ -91,6 +98,46 @@ def test_streaming_rebuilds_the_graph(spark, tmp_path):
     assert links(graph, "Calls") == {("Calls", "m.A.f(int)", "m.A.f()")}  # the second f renames the first
 
 
+def test_streamed_records_are_numbered_in_order_over_many_tasks(spark):
+    rows = streaming.numbered(spark.range(0, 600, 1, 200).withColumnRenamed("id", "k"), 50).collect()
+    assert sorted((r["k"], r["seq"]) for r in rows) == [(k, 50 + k) for k in range(600)]
+
+
+def test_a_failed_write_leaves_the_published_store(spark, tmp_path):
+    folder, staged = str(tmp_path / "graph"), str(tmp_path / "lines")
+    frame = spark.createDataFrame
+    good = sink.Graph(frame([("m", "Module")], "fqn string, kind string"), frame([], "src string"))
+    names = [f.name for f in sink.NODE_SCHEMA]
+    good.nodes = good.nodes.select(*[F.col(n) if n in good.nodes.columns else F.lit(None).cast(sink.NODE_SCHEMA[n].dataType).alias(n) for n in names])
+    good.edges = frame([], sink.EDGE_SCHEMA)
+    sink.write_store(good, folder)
+    before = sink.read_store(spark, folder)
+    bad = sink.Graph(good.nodes.withColumn("fqn", F.raise_error(F.lit("broken")).cast("string")), good.edges)
+    with pytest.raises(Exception, match="broken"):
+        sink.write_store(bad, folder)
+    assert kinds(sink.read_store(spark, folder)) == {"m": "Module"}
+    sink.write_store(sink.Graph(good.nodes.withColumn("fqn", F.lit("n")), good.edges), folder)
+    assert kinds(sink.read_store(spark, folder)) == {"n": "Module"} and kinds(before) == {"m": "Module"}
+    sink.write_jsonl(good, staged)
+    with pytest.raises(OSError):
+        sink.replace_folder(spark, str(tmp_path / "nothing"), staged)
+    assert len(sink.read_jsonl(spark, staged).nodes.collect()) == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    project = tmp_path / "p"
+    (project / "core").mkdir(parents=True)
+    (project / "core" / "a.cc").write_text("struct A { int f() { return 1; } };")
+    (project / "other").mkdir()
+    (project / "other" / "b.cc").write_text("struct B {};")
+    assert main(["init", str(project)]) == 0 and find_workspace(project)
+    assert main(["scan", str(project), "--language", "cpp", "--module", "core"]) == 0
+    assert "nodes: " in capsys.readouterr().out
+    assert main(["query", "MATCH (s:Struct) RETURN s.fqn", "--project", str(project)]) == 0
+    assert capsys.readouterr().out.split() == ["s.fqn", "core.A"]
+    assert main(["scan", str(project), "--language", "cobol"]) == 1 and main(["query", "MATCH", "--project", str(tmp_path)]) == 1
+
+
 def test_fact_resolution(spark):
     frame = spark.createDataFrame
     owners = frame([("a",), ("a/b",)], "owner string")
