@@ -137,28 +137,31 @@ def stars(points: DataFrame, value: list[str]) -> DataFrame:
     return met.where(F.col("x.node") != F.col("node")).select("node", *value, "x")
 
 
-def apart(points: DataFrame, labels: DataFrame, value: list[str], band: Column | None = None, reach: int = 0) -> DataFrame:
+def apart(points: DataFrame, labels: DataFrame, value: list[str], band: Column | None = None, reach: int = 0, front: Column | None = None) -> DataFrame:
     """Pairs of a cell's members that `labels` (node, component) has not joined, in the columns of stars().
 
     Of each cell, members outside its most frequent component meet all others: near copies, which their leaders have
     joined, are not held against one another again. band: a number of which pairs that matter differ by `reach` at most.
+    front: whether a point is one of those of which a pair that matters has one at least.
     """
-    band = F.lit(0) if band is None else band
-    marked = store(points.join(labels, "node", "left").select("cell", "node", *value, F.coalesce("component", "node").alias("label"), band.alias("band")))
+    band, front = F.lit(0) if band is None else band, F.lit(True) if front is None else front
+    marked = store(points.join(labels, "node", "left").select("cell", "node", *value, F.coalesce("component", "node").alias("label"), band.alias("band"), front.alias("front")))
     main = marked.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
     rest = store(marked.join(main.where("labels > 1").select("cell", "main"), "cell"))
     discard(marked)
     few = rest.where("label <> main").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in range(-reach, reach + 1)])))
-    few = few.select("cell", "band", F.struct("node", *value).alias("x"), F.col("label").alias("x_label"))
-    pairs = rest.join(few, ["cell", "band"]).where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x.node"))))
+    few = few.withColumn("front", F.explode(F.when(F.col("front"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    few = few.select("cell", "band", "front", F.struct("node", *value).alias("x"), F.col("label").alias("x_label"))
+    pairs = rest.join(few, ["cell", "band", "front"]).where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x.node"))))
     out = pairs.select("node", *value, "x")
     out.stored_in = rest.stored_in
     return out
 
 
-def crowded(points: DataFrame) -> DataFrame:
-    """Points whose cell has another one, as a stored table."""
-    return store(points.join(points.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi"))
+def crowded(points: DataFrame, front: Column | None = None) -> DataFrame:
+    """Points whose cell has another one, and one in front, as a stored table."""
+    cells = points.groupBy("cell").agg(F.count("*").alias("n"), F.max(F.lit(True) if front is None else front).alias("front")).where("n > 1 AND front")
+    return store(points.join(cells.select("cell"), "cell", "left_semi"))
 
 
 def near_links(nodes: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
@@ -326,12 +329,14 @@ def similar_links(nodes: DataFrame, docs: DataFrame, width: int, similarity: flo
     against its leaders; then those that this has not joined against the others. Sizes that the similarity allows are in
     the same band of sizes or in the next.
     """
-    points = crowded(nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "cell")))
+    # Of two sets of the similarity, the smaller one has the first shared shingle among its first ones: it leaves room for what they share.
+    front = F.col("size") - F.col("pos") + SLACK >= 2 * similarity / (1 + similarity) * F.col("size")
+    points = crowded(nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "cell")), front)
     first = store(candidates(stars(points, ["size", "pos"]), similarity))
     links = verified(first, nodes, docs, width, similarity)
     labels = components(links)
     band = F.floor(F.log(F.col("size")) / F.lit(-np.log(similarity)) + F.lit(SLACK)).cast("int")
-    pairs = apart(points, labels, ["size", "pos"], band, 1)
+    pairs = apart(points, labels, ["size", "pos"], band, 1, front)
     rest = store(candidates(pairs, similarity).join(first, ["u", "v"], "left_anti"))
     discard(points, pairs, first, links)
     joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
