@@ -244,7 +244,7 @@ def common_shingles(docs: DataFrame, width: int = SIMILAR_WIDTH) -> tuple[np.nda
     counted = store(docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON))
     # The greatest counts, down to the power of two below which there would be too many.
     sizes = {r["power"]: r["n"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()}
-    least = min((p for p in sizes if sum(n for q, n in sizes.items() if q >= p) <= MOST_COMMON), default=63)
+    least = min((p for p in sizes if sum(n for q, n in sizes.items() if q >= p) <= MOST_COMMON), default=62)
     got = counted.where(F.col("n") >= 2**least).toArrow()
     discard(counted)
     cells = got["cell"].to_numpy().view(np.uint64)
