@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.model import RECORD_SCHEMA, SEQUENCED_SCHEMA
 from graphloom.plans.scan import build
@@ -39,7 +40,7 @@ def start(spark: SparkSession, source: str, table: str, published: str, state: s
         spark, names = df.sparkSession, [f.name for f in SEQUENCED_SCHEMA]
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
         earlier = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
-        before = spark.read.schema(SEQUENCED_SCHEMA.add("batch", "long")).parquet(table).where(F.col("batch") < number).agg(F.max("seq")).first()[0] if earlier else None
+        before = spark.read.schema(T.StructType([*SEQUENCED_SCHEMA.fields, T.StructField("batch", T.LongType())])).parquet(table).where(F.col("batch") < number).agg(F.max("seq")).first()[0] if earlier else None
         numbered(validated(df), 0 if before is None else before + 1).select(*names).write.mode("overwrite").parquet(f"{table}/batch={number}")
         every = spark.read.schema(SEQUENCED_SCHEMA).parquet(table).select(*names)
         graph, _ = build(every, language, blacklist, excludes, config)
