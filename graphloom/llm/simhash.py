@@ -12,6 +12,7 @@ cell's main component meet the others. So a cell full of near copies costs rows,
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -127,35 +128,42 @@ def grid_groups(rows: int) -> int:
     return next(g for g in range(2 * MOST_DIFFERING, BITS // 2 + 1) if 1.5 * (BITS // 2) * (g - MOST_DIFFERING) / g >= np.log2(max(rows, 1)) or g == 12)
 
 
-def stars(points: DataFrame, value: list[str]) -> DataFrame:
-    """points: cell, node and the columns `value`. Each point with the LEADERS of its cell: those columns, and x, the leader's, as a struct.
+def stars(points: DataFrame, value: list[str], leaders: int = LEADERS, seed: int = 0) -> DataFrame:
+    """points: cell, node and the columns `value`. Each point with the leaders of its cell: those columns, and x, the leader's, as a struct.
 
     Leaders are the members whose seeded hashes are least, so that cells with the same members have the same ones.
     """
-    leaders = points.groupBy("cell").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", *value)).alias(f"l{k}") for k in range(LEADERS)])
-    met = points.join(leaders, "cell").withColumn("x", F.explode(F.array_distinct(F.array(*[F.col(f"l{k}") for k in range(LEADERS)]))))
+    least = points.groupBy("cell").agg(*[F.min(F.struct(F.xxhash64("node", F.lit(seed + k)).alias("h"), "node", *value)).alias(f"l{k}") for k in range(leaders)])
+    met = points.join(least, "cell").withColumn("x", F.explode(F.array_distinct(F.array(*[F.col(f"l{k}") for k in range(leaders)]))))
     return met.where(F.col("x.node") != F.col("node")).select("node", *value, "x")
 
 
-def apart(points: DataFrame, labels: DataFrame, value: list[str], band: Column | None = None, reach: int = 0, front: Column | None = None) -> DataFrame:
-    """Pairs of a cell's members that `labels` (node, component) has not joined, in the columns of stars().
+def unsettled(points: DataFrame, labels: DataFrame, value: list[str]) -> DataFrame:
+    """The points of cells that `labels` (node, component) has not joined to one: cell, node, value, label, the cell's most
+    frequent label as main, and how many members have others as outside. A stored table."""
+    points = points.select("cell", "node", *value)
+    marked = store(points.join(labels, "node", "left").select("cell", "node", *value, F.coalesce("component", "node").alias("label")))
+    counts = marked.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell")
+    main = counts.agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).select("cell", F.col("most.label").alias("main"), (F.col("n") - F.col("most.n")).alias("outside"))
+    rest = store(marked.join(main.where("outside > 0"), "cell"))
+    discard(marked)
+    return rest
+
+
+def apart(rest: DataFrame, value: list[str], band: Column | None = None, reach: int = 0, front: Column | None = None) -> DataFrame:
+    """Pairs of a cell's members that no label has joined, of a table unsettled() returned, in the columns of stars().
 
     Of each cell, members outside its most frequent component meet all others: near copies, which their leaders have
     joined, are not held against one another again. band: a number of which pairs that matter differ by `reach` at most.
     front: whether a point is one of those of which a pair that matters has one at least.
     """
     band, front = F.lit(0) if band is None else band, F.lit(True) if front is None else front
-    marked = store(points.join(labels, "node", "left").select("cell", "node", *value, F.coalesce("component", "node").alias("label"), band.alias("band"), front.alias("front")))
-    main = marked.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("labels"))
-    rest = store(marked.join(main.where("labels > 1").select("cell", "main"), "cell"))
-    discard(marked)
+    rest = rest.withColumns({"band": band, "front": front})
     few = rest.where("label <> main").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in range(-reach, reach + 1)])))
     few = few.withColumn("front", F.explode(F.when(F.col("front"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
     few = few.select("cell", "band", "front", F.struct("node", *value).alias("x"), F.col("label").alias("x_label"))
     pairs = rest.join(few, ["cell", "band", "front"]).where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("main")) | (F.col("node") < F.col("x.node"))))
-    out = pairs.select("node", *value, "x")
-    out.stored_in = rest.stored_in
-    return out
+    return pairs.select("node", *value, "x")
 
 
 def crowded(points: DataFrame, front: Column | None = None) -> DataFrame:
@@ -176,8 +184,8 @@ def near_links(nodes: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
         return pairs.where(bound).where(exact).select(F.least("node", "x.node").alias("u"), F.greatest("node", "x.node").alias("v")).distinct()
 
     first = components(near(stars(points, ["fp"])))
-    left = apart(points, first, ["fp"])
-    found = store(near(left))
+    left = unsettled(points, first, ["fp"])
+    found = store(near(apart(left, ["fp"])))
     discard(points, left)
     return first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found)
 
@@ -204,8 +212,10 @@ SET_BYTES = 1 << 20
 #: The least count of a common shingle, how many are known at most, and the share of all shingles that are counted (by their hash).
 #: They set the order of the shingles, so the number of candidates; any order finds the same links.
 COMMON, MOST_COMMON, COUNTED = 16, 300_000, 0.3
-#: 64-bit words of a set's parities.
-PARITY_WORDS = 16
+#: 64-bit words of a set's parities, and of those that travel with its points.
+PARITY_WORDS, FOLDS = 16, ("f0", "f1", "f2", "f3")
+#: Leaders that members meet in later rounds, in cells of which more than twice as many are outside the main component.
+MORE_LEADERS = (16,)
 #: Against rounding in bounds: it lets a candidate more pass, never one less.
 SLACK = 1e-9
 
@@ -286,11 +296,24 @@ def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n int, prefix array<long>, parity array<long>")
 
 
+def most_differing(similarity: float, total: Column) -> Column:
+    """In how many shingles two sets of this similarity and this size in all can differ."""
+    return (1 - similarity) / (1 + similarity) * total + SLACK
+
+
+def folded() -> list[Column]:
+    """The parities of a node in fewer cells: an exclusive or of words is the parity of their cells together."""
+    words = [F.col("parity")[k] for k in range(PARITY_WORDS)]
+    return [reduce(lambda p, q: p.bitwiseXOR(q), words[k :: len(FOLDS)]).alias(w) for k, w in enumerate(FOLDS)]
+
+
 def allowed(similarity: float) -> Column:
-    """Whether sizes, and places of the shared shingle if it is the first one, let a pair of stars() have the similarity."""
+    """Whether sizes, places of the shared shingle if it is the first one, and folded parities let a pair of stars() have the similarity."""
     size, other = F.col("size"), F.col("x.size")
     shared, total = F.least(size - F.col("pos"), other - F.col("x.pos")), size + other
-    return (F.least(size, other) + SLACK >= similarity * F.greatest(size, other)) & (shared + SLACK >= similarity / (1 + similarity) * total)
+    sizes = (F.least(size, other) + SLACK >= similarity * F.greatest(size, other)) & (shared + SLACK >= similarity / (1 + similarity) * total)
+    differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"x.{w}"))) for w in FOLDS), F.lit(0))
+    return sizes & (differing <= most_differing(similarity, total))
 
 
 def candidates(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -309,7 +332,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, si
 
     sides = [nodes.select(F.col("node").alias(e), F.col("n").alias(a), F.col("parity").alias(p)) for e, a, p in ("uax", "vby")]
     differing = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, d: n + d)
-    near = pairs.join(sides[0], "u").join(sides[1], "v").where(differing <= (1 - similarity) / (1 + similarity) * (F.col("a") + F.col("b")) + SLACK)
+    near = pairs.join(sides[0], "u").join(sides[1], "v").where(differing <= most_differing(similarity, F.col("a") + F.col("b")))
     pairs = store(near.select("u", "v", "a", "b"))
     needed = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     needed = store(nodes.join(needed, "node", "left_semi").select("node", "row.doc_id", "row.text_hash"))
@@ -326,21 +349,33 @@ def similar_links(nodes: DataFrame, docs: DataFrame, width: int, similarity: flo
     """u, v: links of nodes, enough to join all that verified ones join.
 
     Two sets of the similarity share a shingle of their prefixes, so all meet in a cell. First each cell's members are held
-    against its leaders; then those that this has not joined against the others. Sizes that the similarity allows are in
-    the same band of sizes or in the next.
+    against its leaders; in cells where this leaves many apart, against more leaders; then those that this has not joined
+    against the others. Sizes that the similarity allows are in the same band of sizes or in the next.
     """
+    value = ["size", "pos", *FOLDS]
     # Of two sets of the similarity, the smaller one has the first shared shingle among its first ones: it leaves room for what they share.
     front = F.col("size") - F.col("pos") + SLACK >= 2 * similarity / (1 + similarity) * F.col("size")
-    points = crowded(nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "cell")), front)
-    first = store(candidates(stars(points, ["size", "pos"]), similarity))
-    links = verified(first, nodes, docs, width, similarity)
+    points = crowded(nodes.where("row IS NOT NULL").select("node", F.col("n").alias("size"), *folded(), F.posexplode("prefix").alias("pos", "cell")), front)
+    met = store(candidates(stars(points, value), similarity))
+    links = verified(met, nodes, docs, width, similarity)
+    for leaders in MORE_LEADERS:
+        labels = components(links)
+        joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        rest = unsettled(points, labels, value)
+        discard(points, links)
+        points, wide = rest, rest.where(F.col("outside") > 2 * leaders)
+        more = stars(wide, [*value, "label"], leaders, LEADERS).where(F.col("label") != F.col("x.label"))
+        more = store(candidates(more, similarity).join(met, ["u", "v"], "left_anti"))
+        links = store(joined) if more.isEmpty() else store(joined.unionByName(verified(more, nodes, docs, width, similarity)))
+        seen, met = met, store(met.unionByName(more))
+        discard(seen, more)
     labels = components(links)
+    rest = unsettled(points, labels, value)
     band = F.floor(F.log(F.col("size")) / F.lit(-np.log(similarity)) + F.lit(SLACK)).cast("int")
-    pairs = apart(points, labels, ["size", "pos"], band, 1, front)
-    rest = store(candidates(pairs, similarity).join(first, ["u", "v"], "left_anti"))
-    discard(points, pairs, first, links)
+    left = store(candidates(apart(rest, value, band, 1, front), similarity).join(met, ["u", "v"], "left_anti"))
+    discard(points, rest, met, links)
     joined = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return joined if rest.isEmpty() else joined.unionByName(verified(rest, nodes, docs, width, similarity))
+    return joined if left.isEmpty() else joined.unionByName(verified(left, nodes, docs, width, similarity))
 
 
 def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
