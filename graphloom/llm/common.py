@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.storage import discard, shared_folder, store  # noqa: F401
 
 #: Bytes of text that a Python operator takes out of an Arrow batch at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
