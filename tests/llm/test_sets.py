@@ -112,10 +112,23 @@ def brute_similar(rows):
     return group
 
 
+def test_folded_parities_never_exceed_the_difference(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 30, 400, 5000)]
+    sets += [np.unique(np.concatenate([x[: len(x) * 4 // 5], rng.integers(0, 2**63, 9).astype(np.uint64)])) for x in sets]
+    table = spark.createDataFrame([(k, simhash.parities(x).tolist()) for k, x in enumerate(sets)], "node long, parity array<long>")
+    points = {r["node"]: [r[w] for w in simhash.FOLDS] for r in table.select("node", *simhash.folded()).collect()}
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            least = sum(((p ^ q) % 2**64).bit_count() for p, q in zip(points[a], points[b]))
+            assert least <= len(np.setxor1d(sets[a], sets[b])) and (least > 0) == (a != b)
+
+
 @pytest.mark.parametrize("common", [10, 2])
 def test_links_are_those_of_similarity_0_8_exactly(spark, monkeypatch, common):
     monkeypatch.setattr(simhash, "COMMON", common)
     monkeypatch.setattr(simhash, "LEADERS", 1)
+    monkeypatch.setattr(simhash, "MORE_LEADERS", (1, 2))
     rows = []
     for n in range(5, 13):  # one word more: 4 of 5 shingles for 8 and 9 words
         text = [f"t{n}_{k}" for k in range(n)]
