@@ -15,12 +15,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents of similarity 0.8 or more, over five words, one with the smallest doc_id. Rows without an id stay.
+    """Of each group of documents that fingerprints join, and a similarity of 0.8 or more over five words, one with the smallest doc_id.
 
-    Texts that are not similar all stay, under one doc_id too.
+    Rows without an id stay. Texts that are not similar all stay, under one doc_id too.
     """
-    groups = simhash.similar_documents(docs).where("doc_id IS NOT NULL")
-    first = groups.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("_text_hash"))
+    groups = simhash.near_copies(docs)
+    first = groups.groupBy("fp_class", "class").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("_text_hash"))
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     kept = keyed.join(first, ["doc_id", "_text_hash"], "left_semi").dropDuplicates(["doc_id", "_text_hash"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -89,15 +89,17 @@ def fingerprint(data: bytes | None, width: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), a row for each of docs' rows."""
+    """doc_id, text_hash, fp (the fingerprint as a signed long), a row for each of docs' rows."""
 
     def run(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text")):
                 fps = np.array([fingerprint(x, width) for x in rows], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(rows)), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                same = [batch.column(c).slice(first, len(rows)) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def popcounts(fp: Column) -> Column:
@@ -196,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
     Null and empty texts have fingerprint 0 and are linked like others. A row whose doc_id is null links nothing; its
     component is the one of its fingerprint, or null if all of that one's ids are null. Other columns are left aside.
     """
-    marked = store(fingerprints(docs, width))
+    marked = store(fingerprints(docs, width).select("doc_id", "fp"))
     nodes = store(marked.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count("*").alias("n")))
     joined = components(near_links(nodes.where("node IS NOT NULL").select("fp", "node"), most))
     # Only fingerprints with company need a row here; others are their own component.
@@ -204,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, most: int = MOS
     return marked.join(classes, "fp", "left").select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component"))
 
 
-# Similar documents: sets of shingles joined exactly, for similarities at which 64 bits differ in too many places for a grid.
+# Similar documents: sets of shingles joined exactly, in one scope or in many.
 
 SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 #: Bytes of text whose shingles are hashed together.
@@ -279,20 +281,22 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(counts % 2 == 1).view(np.int64)
 
 
-def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, text_hash, node (a hash of the shingle set, equal for equal sets), n (its size), prefix, parity, a row for each of docs' rows."""
+def prefixes(docs: DataFrame, width: int, similarity: float, scope: str | None = None) -> DataFrame:
+    """doc_id, text_hash, node (a hash of the shingle set, equal for equal sets of one scope), n (its size), prefix, parity, a row for each of docs' rows."""
     cells, counts = common_shingles(docs, width)
 
     def run(batches):
         for batch in batches:
             for first, rows in slices(batch.column("text"), SET_BYTES):
                 sets = shingle_sets(rows, width)
-                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-                first_ones = pa.array([prefix(x, cells, counts, similarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
+                scopes = [b"" if x is None else x.to_bytes(8, "little", signed=True) for x in batch.column("scope").slice(first, len(rows)).to_pylist()]
+                salts = [np.uint64(xxhash.xxh3_64_intdigest(x, SEED) if x else 0) for x in scopes]
+                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes() + scope, SEED) for x, scope in zip(sets, scopes)], dtype=np.uint64).view(np.int64)
+                first_ones = pa.array([(prefix(x, cells, counts, similarity) ^ salt).view(np.int64) for x, salt in zip(sets, salts)], pa.list_(pa.int64()))
                 same = [batch.column(c).slice(first, len(rows)) for c in ("doc_id", "text_hash")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(node), pa.array([len(x) for x in sets], pa.int32()), first_ones, pa.array([parities(x) for x in sets], pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "n", "prefix", "parity"])
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), (F.col(scope) if scope else F.lit(None)).cast("long").alias("scope"))
     return keyed.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, node long, n int, prefix array<long>, parity array<long>")
 
 
@@ -378,7 +382,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, width: int, similarity: flo
     return joined if left.isEmpty() else joined.unionByName(verified(left, nodes, docs, width, similarity))
 
 
-def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, scope: str | None = None) -> DataFrame:
     """docs needs doc_id, text. Returns doc_id, component (the smallest doc_id reachable over links of similar texts), text_hash, class.
 
     class is equal for all rows of a group, and only for them, even where texts of two groups repeat a doc_id.
@@ -386,8 +390,9 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     Texts are similar if the sets of their shingles (as 64-bit hashes) have this Jaccard similarity or more: all such pairs
     are found, and each link is counted out on the sets. Equal sets count once. Null and empty texts are one group; a row
     with a null doc_id links nothing, and its component is its set's, or null. Other columns are left aside.
+    scope: a column of longs; rows of two scopes are not held against one another.
     """
-    marked = store(prefixes(docs, width, similarity))
+    marked = store(prefixes(docs, width, similarity, scope))
     row = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("row")
     nodes = store(marked.groupBy("node").agg(row, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
     rows = store(marked.select("doc_id", "text_hash", "node"))
@@ -400,3 +405,28 @@ def similar_documents(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: f
     least = classes.groupBy("class").agg(F.min("least").alias("component"))
     found = rows.join(classes.join(least, "class").select("node", "class", "component"), "node", "left")
     return found.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text_hash", F.coalesce("class", "node").alias("class"))
+
+
+def near_copies(docs: DataFrame, most: int = MOST_DIFFERING, similarity: float = SIMILARITY) -> DataFrame:
+    """docs needs doc_id, text. Returns text_hash, doc_id, fp_class, class, for each different row of those whose doc_id is not null.
+
+    Fingerprints that differ in `most` bits at most link rows, as in near_duplicates(); fp_class is equal for all rows that
+    they join. Texts can share a fingerprint by a line that each repeats often, so what is joined is checked exactly: rows
+    are copies if (fp_class, class) is equal, that is if their fingerprints are joined and links of similar_documents(), of
+    texts in the same fp_class, join their texts. A class that has one text alone needs no check: its class is null.
+    """
+    marked = store(fingerprints(docs.where("doc_id IS NOT NULL")))
+    nodes = store(marked.select("fp", F.col("fp").alias("node")).distinct())
+    joined = components(near_links(nodes, most)).withColumnRenamed("node", "fp")
+    rows = store(marked.distinct().join(joined, "fp", "left").select("doc_id", "text_hash", F.coalesce("component", "fp").alias("fp_class")))
+    discard(marked, nodes)
+    texts = rows.groupBy("fp_class", "text_hash").agg(F.min("doc_id").alias("doc_id"))
+    mixed = rows.groupBy("fp_class").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("fp_class")
+    texts = store(texts.join(mixed, "fp_class", "left_semi"))
+    # One row of each text: copies of it are not read again.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    read = store(keyed.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text", "fp_class"))
+    classes = similar_documents(read, similarity=similarity, scope="fp_class").select("text_hash", "class")
+    out = store(rows.join(classes.distinct(), "text_hash", "left"))
+    discard(rows, texts, read)
+    return out

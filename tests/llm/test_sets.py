@@ -377,3 +377,29 @@ def test_texts_that_share_a_doc_id_are_told_apart(spark):
     rows = [(1, texts[0], "a"), (1, texts[1], "a"), (1, texts[1], "a"), (2, texts[1] + " more", "b"), (3, texts[2], "b"), (4, texts[3], "b"), (2, texts[3].upper(), "c"), (None, texts[2], "c")]
     got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("1", texts[0]), ("1", texts[1]), ("3", texts[2]), ("2", texts[3].upper()), ("None", texts[2])])
+
+
+def test_the_pipeline_drops_by_fingerprints_and_checks_what_they_join(spark, monkeypatch):
+    base, line = words(300, 31, 10**6), " ".join(words(9, 32))
+    rows = [(k, " ".join(base[: 40 * k] + [f"own{k}"] + base[40 * k + 1 :]), "a") for k in range(6)]  # one word of 300 changed
+    rows += [(10 + k, " ".join([line] * 80 + words(200, 40 + k, 10**6)), "a") for k in range(3)]  # one fingerprint, texts of their own
+    rows += [(20, rows[6][1] + " end", "b"), (21, rows[0][1], "b"), (22, None, "b"), (23, "", "b"), (None, rows[0][1], "c")]
+    fps = {d: brute_fingerprint(t) for d, t, _ in rows}
+    groups, texts = brute_components({d: f for d, f in fps.items() if d is not None}), {d: t for d, t, _ in rows}
+    assert groups[11] == groups[12] == groups[20] == 10
+    want = {}
+    for d, g in groups.items():  # those of one group of fingerprints alone
+        same = [(x, texts[x] or "", "") for x in groups if groups[x] == g]
+        want[d] = brute_similar(same)[d]
+    used = []
+    linked = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda *a: used.append(a) or linked(*a))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), "").collect()
+    assert used and sorted(str(r["doc_id"]) for r in got) == sorted([*(str(d) for d in want if want[d] == d), "None"])
+    assert {10, 11, 12} <= {r["doc_id"] for r in got} and not {20, 21, 23} & {r["doc_id"] for r in got}
+
+
+def test_scopes_are_kept_apart(spark):
+    text = " ".join(words(50, 51, 10**6))
+    rows = spark.createDataFrame([(1, text, 7), (2, text, 8), (3, text + " more", 8), (4, text + " else", 7)], "doc_id long, text string, scope long")
+    assert {r["doc_id"]: r["component"] for r in simhash.similar_documents(rows, scope="scope").collect()} == {1: 1, 4: 1, 2: 2, 3: 2}
