@@ -50,3 +50,18 @@ def test_the_rest_stands_without_the_optional_part(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", copy)
     code = "import sys, __spark_entry__ as e; assert len(e.queries()) > 90 and not any(k.startswith('op') for k in e.queries()); assert not any('llm' in m for m in sys.modules if m.startswith('graphloom'))"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
+def test_modules_need_no_stored_graph(spark, tmp_path):
+    from graphloom.plans.registry import context
+
+    (tmp_path / "d").symlink_to(DATA)
+    folder = str(tmp_path / "d")
+    con = duckdb.connect()
+    for path in Path(DATA).iterdir():
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    want = sorted(con.execute(entry.oracle_sql()["t2_modules"]).fetchall())
+    assert sorted(tuple(r) for r in entry.queries()["t2_modules"](spark, folder).collect()) == want
+    assert "stored_graph" not in vars(context(spark, folder))
+    context(spark, folder).stored_graph
+    assert sorted(tuple(r) for r in entry.queries()["t2_modules"](spark, folder).collect()) == want

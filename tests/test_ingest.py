@@ -131,3 +131,13 @@ def test_empty_input(spark):
     i = ingest(spark, [])
     i.check()
     assert i.nodes.count() == 0 and i.edges.count() == 0
+
+
+def test_modules_are_held_against_all_names_that_may_be_theirs(spark):
+    rows = [module(m) for m in ("p", "p.f", "p.f(int)", "p.g", "p.g(int)", "p.S", "p.S.h(a", "p.init#a.go")]
+    rows += [function("n1", "p", "f", ["int"]), function("n2", "p", "f", []), function("n3", "p", "g", ["int"]), struct("n4", "p", "S"), function("n5", "p", "S"), function("n6", "p", "init", file="/x/a.go"), function("n7", "q", "f")]
+    for language, shadowed in (("java", {"p.f(int)", "p.g", "p.S"}), ("go", {"p.f(int)", "p.g", "p.S", "p.init#a.go"})):
+        i = ingest(spark, rows, language)
+        assert {r["fqn"] for r in i.modules_shadowed.collect()} == shadowed
+        assert {r["fqn"] for r in i.module_nodes.collect()} == {r["fqn"] for r in rows if r["type"] == "module"} - shadowed
+        assert {r["fqn"] for r in i.claims.collect()} == {x for x in names(i).values() if x not in ("q.f", "p.init")} | {"p.S"}
