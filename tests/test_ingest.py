@@ -141,3 +141,20 @@ def test_modules_are_held_against_all_names_that_may_be_theirs(spark):
         assert {r["fqn"] for r in i.modules_shadowed.collect()} == shadowed
         assert {r["fqn"] for r in i.module_nodes.collect()} == {r["fqn"] for r in rows if r["type"] == "module"} - shadowed
         assert {r["fqn"] for r in i.claims.collect()} == {x for x in names(i).values() if x not in ("q.f", "p.init")} | {"p.S"}
+
+
+def test_edges_are_stored_by_relation(spark, monkeypatch):
+    from graphloom.plans import ingest as plans
+
+    rows = [module("m"), file("/x/a.java", "m"), struct("n1", "m", "A", "/x/a.java"), function("n2", "m.A", "f", path="/x/a.java"), function("n3", "m.A", "g", path="/x/a.java", span=(90, 95)), unresolved("u")]
+    rows += [edge("contains", "n1", "n2"), edge("contains", "n1", "n3"), edge("calls", "n2", "n3"), edge("uses", "n2", "n1"), edge("unresolved_call", "n2", "u", "func()"), edge("unresolved_use", "n1", "u")]
+    i, stored = ingest(spark, rows), []
+    keep = plans.store
+    monkeypatch.setattr(plans, "store", lambda df: stored.append(keep(df)) or stored[-1])
+    cleaned = Cleanup(i.graph, CleanupOptions("java", ()))
+    got = links(cleaned.result)
+    found = [{r["rel"] for r in df.select("rel").collect()} for df in stored if "rel" in df.columns]
+    assert len(found) == 15 and all(len(f) == 1 for f in found)
+    calls = {("Calls", "m.A.f", "m.A.g"), ("Uses", "m.A.f", "m.A"), ("UnresolvedCall", "m.A.f", "u"), ("UnresolvedUse", "m.A", "u")}
+    inside = {("Contains", "m", "/x/a.java"), ("Contains", "/x/a.java", "m.A"), ("Contains", "/x/a.java", "m.A.f"), ("Contains", "/x/a.java", "m.A.g"), ("Contains", "m.A", "m.A.f")}
+    assert got == calls | inside
