@@ -83,3 +83,30 @@ def test_queries_need_no_whole_graph(spark, tmp_path):
         assert entry.queries()[name](spark, folder).count() > 0
         made = vars(context(spark, folder))
         assert "stored_graph" not in made and "ingest" not in made and set(made["lean"]._edges) == set(rels), name
+
+
+def test_records_of_joined_lines_need_no_shuffle(spark):
+    from graphloom.sources.adapter import joined_lines, records
+
+    small = "/root/testdata/sf0.001"
+    plain, read = records(spark, small), records(spark, small, joined_lines(spark, small))
+    assert rows(read) == rows(plain)
+    for kind in ("function", "unresolved_call"):
+        lines = read.where(f"type = '{kind}'").select("id", "parent", "from")
+        assert "l_orderkey" not in lines._jdf.queryExecution().optimizedPlan().toString(), kind
+    assert "Exchange hash" not in read.where("type = 'function'").select("id", "parent")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edge_records_of_one_relation_at_a_time(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    (tmp_path / "e").symlink_to("/root/testdata/sf0.001")
+    read, raw = [], LeanGraph.raw
+
+    def watched(self, rel):
+        assert set(self._raw) <= {rel} and "declared" in vars(self)
+        read.append(rel)
+        return raw(self, rel)
+
+    monkeypatch.setattr(LeanGraph, "raw", watched)
+    assert entry.queries()["c_distinct"](spark, str(tmp_path / "e")).count() > 0 and read == ["Calls", "Uses"]
