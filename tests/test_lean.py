@@ -110,3 +110,17 @@ def test_edge_records_of_one_relation_at_a_time(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(LeanGraph, "raw", watched)
     assert entry.queries()["c_distinct"](spark, str(tmp_path / "e")).count() > 0 and read == ["Calls", "Uses"]
+
+
+@pytest.mark.parametrize("more, light", [([], True), ([file("/x/n.java", "p"), edge("contains", "p.q", "/x/n.java"), edge("contains", "/x/n.java", "s1"), struct("t1", "p", "S1", "/x/0.java")], False)])
+def test_containment_of_files_needs_no_functions(spark, more, light):
+    plain = [r for r in project(5) if r["type"] != "contains" or not {"/x/"} & {r["from"][:3], r["to"][:3]}] + more
+    df = frame(spark, plain)
+    whole = Cleanup(Ingest(df, IngestOptions("java", ("drop",))).graph, CleanupOptions("java", EXCLUDES)).result
+    lean = LeanGraph(df, IngestOptions("java", ("drop",)), CleanupOptions("java", EXCLUDES), 2)
+    for kinds in (("Module", "File"), ("File", "Struct")):
+        found = lean.edges_of("Contains", *kinds)
+        assert rows(found) == rows(whole.edges_of("Contains", *kinds).select(*found.columns)), kinds
+    if light:
+        assert rows(lean.nodes_of("Struct").select("fqn", "path")) == rows(whole.nodes_of("Struct").select("fqn", "path"))
+    assert ("declared" not in vars(lean) and not lean._edges) == light
