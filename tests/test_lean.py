@@ -124,3 +124,19 @@ def test_containment_of_files_needs_no_functions(spark, more, light):
     if light:
         assert rows(lean.nodes_of("Struct").select("fqn", "path")) == rows(whole.nodes_of("Struct").select("fqn", "path"))
     assert ("declared" not in vars(lean) and not lean._edges) == light
+
+
+def test_json_lines_leave_nothing_but_themselves(spark, tmp_path):
+    import glob
+
+    import __spark_entry__ as entry
+    from graphloom.plans.registry import context
+
+    (tmp_path / "j").symlink_to("/root/testdata/sf0.001")
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{base}/*/*"))
+    found = entry.queries()["k5_jsonl_edges"](spark, str(tmp_path / "j"))
+    # Left are the lines, packed, and the slices of the edges read from them.
+    left = [f for d in set(glob.glob(f"{base}/*/*")) - before for f in glob.glob(f"{d}/**/part-*", recursive=True)]
+    assert left and all(f.endswith(".txt.gz") or f in {p.removeprefix("file://") for p in found.inputFiles()} for f in left)
+    assert "lean" not in vars(context(spark, str(tmp_path / "j"))) and found.count() > 0
