@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from graphloom.llm import components as module_of_components
 from graphloom.llm import decontaminate, mixing, sharding, simhash
 from graphloom.llm.components import components
 from graphloom.llm.wordhash import PIECE_BYTES, Words, pieces
@@ -196,6 +197,36 @@ def test_components_of_chains_and_stars(spark):
     assert {k: c for k, c in got.items() if k != c} == linked
 
 
+@pytest.mark.parametrize("most", [1 << 19, 300, 7])
+def test_components_of_links_in_one_task_and_in_many(spark, monkeypatch, most):
+    monkeypatch.setattr(module_of_components, "TASK_LINKS", most)
+    rng = np.random.default_rng(most)
+    ids = rng.choice(2**62, 1500, replace=False) - 2**61
+    links = [(ids[a], ids[b]) for a, b in rng.integers(0, 500, (300, 2))]  # trees and cycles
+    links += list(zip(ids[500:800], ids[501:801]))  # a chain of ids in no order
+    links += [(ids[900], x) for x in ids[901:1100]] + [(ids[1100], ids[1101])] * 50  # a hub, repeats
+    links += list(zip(sorted(ids[1200:1400])[1:], sorted(ids[1200:1400])))  # a chain in order
+    links = [(int(a), int(b)) for a, b in links]
+    label = {x: x for link in links for x in link}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()
+    assert sorted((r["node"], r["component"]) for r in got) == sorted((x, y) for x, y in label.items() if x != y)
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(2000)], "u long, v long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        got = components(links)
+    finally:
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.where("component = 0").count() == got.count() == 2000
+    assert len(jobs) <= 5
+
+
 def test_empty_tables(spark):
     none = docs(spark, []).limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
