@@ -230,6 +230,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def fitted(batches: list[pa.RecordBatch], place: dict[int, int], words: np.ndarray, mined: np.ndarray, by_dense: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The weights of a Model, learned from rows of label (null: none), tokens (twice the place, and one if dense) and patterns."""
+    size, total = len(place), sum(len(batch) for batch in batches)
+    x, gold = np.zeros((total, 2 * size + PATTERNS + 1), np.uint8), np.full(total, np.nan)
+    x[:, -1], at = 1, 0
+    for batch in batches:
+        codes, n = batch.column("tokens"), len(batch)
+        row = np.repeat(np.arange(at, at + n), np.diff(codes.offsets.to_numpy()))
+        code = codes.flatten().to_numpy()
+        x[row, code // 2] = 1
+        x[row[code % 2 == 1], size + code[code % 2 == 1] // 2] = 1
+        x[at : at + n, 2 * size : -1] = batch.column("patterns").flatten().to_numpy().reshape(n, PATTERNS)
+        gold[at : at + n] = batch.column("label").to_numpy(zero_copy_only=False)
+        at += n
+    voters = [place[int(h)] for h in words] + [place[int(h)] + size * d for h, d, t in zip(mined, by_dense, toxic) if t][:MINED_VOTERS]
+    voters = list(dict.fromkeys(voters)) + [2 * size + k for k in SHOUTS]
+    votes = x[:, voters].astype(np.int8)
+    votes = np.column_stack([votes, -(votes.sum(axis=1) == 0).astype(np.int8)])
+    weights = logistic(x, LabelModel().fit(votes, gold))
+    known = np.isfinite(gold)
+    slope, shift = calibrated(scores(x[known], weights), gold[known])
+    weights = weights * slope
+    weights[-1] += shift
+    return weights
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Model:
     """A model from labelled and other rows outside fold 0; `rows` and `unlabelled` bound the samples. Without labels of both
     kinds, only the lexicon votes. Rows of the samples go into a matrix of marks, a byte each, in the order of a hash."""
@@ -261,29 +287,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, unlabelle
     others = texts.where("doc_id IS NOT NULL").where(outside)
     share = min(1.0, unlabelled / max(1, others.count()))
     others = others.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2**31)) < int(share * 2**31)).select("text", F.lit(None).cast("double").alias("label"))
-    got = sample.unionByName(others).mapInArrow(run, "label double, tokens array<int>, patterns array<float>").orderBy(F.xxhash64("tokens", "label"), "label").toArrow()
+    marked = sample.unionByName(others).mapInArrow(run, "label double, tokens array<int>, patterns array<float>")
+
+    def learn(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([fitted(list(batches), place, words, mined, by_dense, toxic).tobytes()], pa.binary())], ["weights"])
+
+    # One task learns from the sample, whose rows are bounded: of its matrix the driver gets the weights alone.
+    ordered = marked.repartition(1).sortWithinPartitions(F.xxhash64("tokens", "label"), "label")
+    weights = np.frombuffer(ordered.mapInArrow(learn, "weights binary").first()["weights"], np.float64)
     discard(sample)
-    x, gold = np.zeros((len(got), 2 * size + PATTERNS + 1), np.uint8), np.full(len(got), np.nan)
-    x[:, -1], at = 1, 0
-    for batch in got.to_batches():
-        codes, n = batch.column("tokens"), len(batch)
-        row = np.repeat(np.arange(at, at + n), np.diff(codes.offsets.to_numpy()))
-        code = codes.flatten().to_numpy()
-        x[row, code // 2] = 1
-        x[row[code % 2 == 1], size + code[code % 2 == 1] // 2] = 1
-        x[at : at + n, 2 * size : -1] = batch.column("patterns").flatten().to_numpy().reshape(n, PATTERNS)
-        gold[at : at + n] = batch.column("label").to_numpy(zero_copy_only=False)
-        at += n
-    del got
-    voters = [place[int(h)] for h in words] + [place[int(h)] + size * d for h, d, t in zip(mined, by_dense, toxic) if t][:MINED_VOTERS]
-    voters = list(dict.fromkeys(voters)) + [2 * size + k for k in SHOUTS]
-    votes = x[:, voters].astype(np.int8)
-    votes = np.column_stack([votes, -(votes.sum(axis=1) == 0).astype(np.int8)])
-    weights = logistic(x, LabelModel().fit(votes, gold))
-    known = np.isfinite(gold)
-    slope, shift = calibrated(scores(x[known], weights), gold[known])
-    weights = weights * slope
-    weights[-1] += shift
     return Model(table, weights)
 
 

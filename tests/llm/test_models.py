@@ -161,6 +161,18 @@ def odd_documents(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("label", F.lit("x")).withColumn("predicted", F.lit(2))
 
 
+def test_toxicity_learns_in_a_task_and_not_in_the_driver(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("the matrix is in the driver")
+
+    for name in ("logistic", "calibrated"):
+        monkeypatch.setattr(toxicity, name, refuse)
+    rows = [(k, f"you vile rat number {k}" if k % 4 == 0 else f"a kind note number {k}", int(k % 4 == 0)) for k in range(400)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(7)
+    got = toxicity.scored(made.select("doc_id", "text"), made.select("doc_id", "toxic")).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {k: y for k, _, y in rows}
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     n, right, recall = accuracy(toxicity.scored(docs, labels), labels.select("doc_id", F.col("toxic").alias("want")), "predicted")
